@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pointloom.llm import chat, urls
+from pointloom.llm import chat, decontaminate, packing, urls
 
 QUERIES = {
+    "op1_sum_of_squares_packing": packing.query,
+    "op3_winnowing_decontamination": decontaminate.query,
     "op6_chat_snapshots": chat.query,
     "op7_url_rules": urls.query,
 }
 ORACLES = {
+    "op3_winnowing_decontamination": decontaminate.ORACLE,
     "op6_chat_snapshots": chat.ORACLE,
     "op7_url_rules": urls.ORACLE,
 }
