@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.arrow import slices
+from pointloom.llm.bitfilter import BitFilter
 from pointloom.session import prepare, table
 
 #: Words of a window, and of the k-grams that are winnowed. A window holds WINDOW - GRAM + 1 k-grams; both sides keep
 #: the least of these, so every shared window has a fingerprint in common.
 WINDOW, GRAM = 10, 6
-#: Bits of the fingerprint filter at least and at most; it only thins what is joined and may let too much through.
-FILTER_BITS = 1 << 16, 1 << 27
 _NON_WORD = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _UPPER = bytes(range(0x41, 0x5B))
 #: Bytes to bytes: A-Z to lower case, others that belong to no word to a space.
@@ -72,11 +71,6 @@ def winnow(g: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at)
 
 
-def _probes(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.uint64(bits - 1)
-    return g & m, (g >> np.uint64(33)) & m
-
-
 def _item_rows(window: int, gram: int):
     """Arrow stage: the fingerprints or the windows of benchmark items."""
 
@@ -113,26 +107,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     spans: sorted (start, end) word ranges of the windows that occur in an item; n_hit: the words in their union; items: sorted ids (as strings) of the items with such a window. An item's windows are its runs of ``window`` words, or all of its words if it has fewer. Null texts have no words; items with a null id or without words match nothing; repeated rows count each for themselves; extra columns are ignored.
     Documents' winnowed fingerprints are tested against a filter of fixed maximal size over the benchmark's; each that passes is extended to the windows around it, which are then joined to the items' windows word for word.
     """
-    spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     fingerprints, item_windows = _item_rows(window, gram)
     found = bench.select("text").mapInArrow(fingerprints, "g long, n int")
-    size = int(bench.agg(F.sum(F.length("text"))).first()[0] or 0)
-    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (4 * size).bit_length()))
-    probes = found.select(F.explode(F.array(F.expr(f"g & {bits - 1}L"), F.expr(f"shiftrightunsigned(g, 33) & {bits - 1}L"))).alias("p"))
-    # at most bits / 64 rows come back, whatever the benchmark's size
-    cells = probes.groupBy(F.expr("p div 64").alias("c")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toArrow()
-    flat = np.zeros(bits // 64, dtype=np.int64)
-    flat[cells.column("c").to_numpy()] = cells.column("v").to_numpy()
+    passing = BitFilter(found.select("g"), int(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // 4)
     short = sorted(r[0] for r in found.where(F.col("n") < window).select("n").distinct().collect())  # below window: a handful
-    held = spark.sparkContext.broadcast(flat.view(np.uint64))
-
-    def passes(g: np.ndarray) -> np.ndarray:
-        f = held.value
-        ok = np.ones(len(g), dtype=bool)
-        for p in _probes(g, bits):
-            ok &= (f[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-        return ok
+    passes = passing.test
 
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("key", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
 
