@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pointloom.llm import chat, decontaminate, jaccard, packing, toxicity, urls
+from pointloom.llm import chat, decontaminate, jaccard, packing, substrings, toxicity, urls
 
 QUERIES = {
     "op1_sum_of_squares_packing": packing.query,
     "op3_winnowing_decontamination": decontaminate.query,
     "op4_toxicity_trees": toxicity.query,
     "op10_bayesian_jaccard": jaccard.query,
+    "op5_suffix_dedup": substrings.query,
     "op6_chat_snapshots": chat.query,
     "op7_url_rules": urls.query,
 }
