@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import functools
+import json
+import os
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +19,10 @@ from pointloom.session import prepare, table
 
 #: Pieces that one packing task takes at most, on average; bounds its memory at any input size.
 SHARD_DOCS = 40_000
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+#: Runs of text whose ids a worker remembers.
+CACHE_RUNS = 500_000
+#: Fixed value: the division rule for which plain runs may be divided here.
+DIVISION = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SHARD = 1 << 40
 
 
@@ -26,32 +32,60 @@ def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@functools.cache
-def _tokenizer(path: str):
-    import os
+#: Runs of these characters stand as they are under canonical composition, lower-case one by one, and hold letters, digits 0-9 and signs only.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+#: The vocabulary's own division of such runs.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+class RunIds(dict):
+    """A run of text without ASCII white space -> its little-endian 32-bit ids, remembered for a bounded number of runs.
 
+    Plain runs are divided here and each part goes to the vocabulary's merge model; all others go through the whole tokenizer.
+    """
 
-def _ids(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text.
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.whole = Tokenizer.from_file(path)
+        self.model, self.part_ids = self.whole.model, {}
+        divided = json.loads(Path(path).read_text())["pre_tokenizer"]["pretokenizers"]
+        self.divides = divided[0]["pattern"]["Regex"] == DIVISION and divided[1]["type"] == "ByteLevel"
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
+
+    def __missing__(self, run: bytes) -> bytes:
+        if len(self) >= CACHE_RUNS:
+            self.clear()
+        text = run.decode("utf-8", "replace")
+        if self.divides and b"<|" not in run and _PLAIN.fullmatch(text):
+            ids = b"".join([self.part_ids.get(p) or self.part(p) for p in _PARTS.findall(text.lower())])
+        else:
+            ids = np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[run] = ids
+        return ids
 
-    The vocabulary drops white space and none of its tokens spans it, so ids are looked up for each run between ASCII white space; new runs are encoded together.
-    """
-    tok, known = _tokenizer(path)
+    def part(self, p: str) -> bytes:
+        if len(self.part_ids) >= CACHE_RUNS:
+            self.part_ids.clear()
+        self.part_ids[p] = ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p if p.isascii() else p.translate(self.signs))])
+        return ids
+
+
+@functools.cache
+def run_ids(path: str) -> RunIds:
+    return RunIds(path)
+
+
+def _ids(texts: list[bytes], path: str) -> Iterator[bytes]:
+    """Little-endian 32-bit ids of each text. The vocabulary drops white space and none of its tokens spans it, so runs between ASCII white space are looked up one by one."""
+    known = run_ids(path)
     for text in texts:
-        words = text.split()
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        yield b"".join(map(known.__getitem__, words))
+        yield b"".join(map(known.__getitem__, text.split()))
 
 
 def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
