@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pointloom.llm import chat, decontaminate, jaccard, packing, substrings, toxicity, urls
+from pointloom.llm import chat, decontaminate, jaccard, packing, scoring, substrings, toxicity, urls
 
 QUERIES = {
     "op1_sum_of_squares_packing": packing.query,
+    "op2_hidden_markov_scores": scoring.query,
     "op3_winnowing_decontamination": decontaminate.query,
     "op4_toxicity_trees": toxicity.query,
     "op10_bayesian_jaccard": jaccard.query,
