@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pointloom.llm import chat, decontaminate, jaccard, packing, scoring, substrings, toxicity, urls
+from pointloom.llm import chat, decontaminate, jaccard, packing, scoring, substrings, toxicity, urls, vectors
 
 QUERIES = {
     "op1_sum_of_squares_packing": packing.query,
     "op2_hidden_markov_scores": scoring.query,
     "op3_winnowing_decontamination": decontaminate.query,
     "op4_toxicity_trees": toxicity.query,
+    "op8_subspace_pigeonhole": vectors.query,
     "op10_bayesian_jaccard": jaccard.query,
     "op5_suffix_dedup": substrings.query,
     "op6_chat_snapshots": chat.query,
@@ -18,4 +19,5 @@ ORACLES = {
     "op3_winnowing_decontamination": decontaminate.ORACLE,
     "op6_chat_snapshots": chat.ORACLE,
     "op7_url_rules": urls.ORACLE,
+    "op8_subspace_pigeonhole": vectors.ORACLE,
 }
