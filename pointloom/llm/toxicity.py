@@ -111,10 +111,12 @@ def fit(texts: list[bytes], labels: np.ndarray) -> ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> ToxicityModel:
-    """Fits on at most sample_rows labelled rows that aren't held out and have at most sample_chars characters: those of least hash of the id. Only the text and the label ``toxic`` (0 or 1) are used; null texts, ids and labels are left out; of several labels of one id the highest counts."""
+    """Fits on at most sample_rows labelled rows that aren't held out: those of least hash of the id, but for texts of more than sample_chars characters. Only the text and the label ``toxic`` (0 or 1) are used; null texts, ids and labels are left out; of several labels of one id the highest counts."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(f"text is not null and length(text) <= {sample_chars}")
-    got = rows.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).select("text", "toxic").toArrow()
+    # sample_rows bounds what is broadcast
+    got = rows.join(F.broadcast(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).select("text", "toxic").toArrow()
     return fit([t.encode() for t in got.column("text").to_pylist()], got.column("toxic").to_numpy())
 
 
