@@ -18,11 +18,11 @@ from pointloom.llm.suffixes import END, GAP, repeated
 from pointloom.session import cut, prepare, table
 
 #: Bytes of a repeated string, and of the grams whose least hash names the group in which a string is looked for.
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 96
 #: Bytes of text that one sorting task takes, about; stretches of one group from which each of their strings is dealt by its own hash.
-LANE_BYTES, HOT = 3 << 20, 20_000
+LANE_BYTES, HOT = 2 << 20, 20_000
 #: Bytes that are hashed at a time, whatever a text's length.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -30,14 +30,17 @@ _VALUES = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) *
 @functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier modulo 2^64 and of its inverse."""
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[1], np.full(n, _MULTIPLIER, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[1], np.full(n, pow(_MULTIPLIER, -1, 1 << 64), dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    out = []
+    for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
+        factors = np.full(n + 1, x, dtype=np.uint64)
+        factors[0] = 1
+        out.append(np.cumprod(factors, dtype=np.uint64))
+    up, down = out
     return up, down
 
 
-def least_hashes(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """For each start of a string of ``length`` bytes the least hash of its grams; equal strings have equal ones."""
+def least_hashes(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of a string of ``length`` bytes the least hash of its grams, and whether its first gram has it; equal strings have equal ones."""
     b = np.frombuffer(data, np.uint8)
     up, down = _powers(2 * BLOCK)
     c = np.zeros(len(b) + 1, dtype=np.uint64)
@@ -46,12 +49,14 @@ def least_hashes(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndar
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    own = h
     width, span = length - gram + 1, 1
     while 2 * span <= width:
         h = np.minimum(h[:-span], h[span:])
         span *= 2
     rest = width - span
-    return np.minimum(h[:-rest], h[rest:]) if rest else h
+    low = np.minimum(h[:-rest], h[rest:]) if rest else h
+    return low, own[: len(low)] == low
 
 
 def _blocks(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -70,16 +75,19 @@ def _blocks(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
         yield block
 
 
-def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[list[tuple[int, int, int]]]:
-    """For each text (key, start, n): runs of n string starts with the same least hash."""
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[list[tuple[int, int, int, int]]]:
+    """For each text (key, start, n, places): runs of n string starts with the same least hash, which stands at so many places, at least for more than one."""
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     for block in _blocks(texts, length):
-        m = least_hashes(b"".join(p for _, _, p in block), length, gram)
+        m, leads = least_hashes(b"".join(p for _, _, p in block), length, gram)
         at = 0
         for i, place, part in block:
             own = m[at : at + len(part) - length + 1]
             cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
-            out[i].extend(zip(own[cuts[:-1]].view(np.int64).tolist(), (cuts[:-1] + place).tolist(), np.diff(cuts).tolist(), strict=True))
+            # a string's first gram leaves the next string: with the hash unchanged, there is another such gram
+            left = np.concatenate([[0], np.cumsum(leads[at : at + len(own)])])
+            places = 1 + left[cuts[1:] - 1] - left[cuts[:-1]]
+            out[i].extend(zip(own[cuts[:-1]].view(np.int64).tolist(), (cuts[:-1] + place).tolist(), np.diff(cuts).tolist(), places.tolist(), strict=True))
             at += len(part)
     return out
 
@@ -93,14 +101,14 @@ def _row_mark(text_digest: bytes, doc_id) -> int:
 
 
 def _survey(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("mark", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("mark", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             ids, digests = rows.column("doc_id"), [digest(t) for t in texts]
             marks = np.array([_row_mark(d, i) for d, i in zip(digests, ids.to_pylist(), strict=True)], dtype=np.uint64).view(np.int64)
             found = runs(texts, length)
-            columns = [ids, digests, [len(t) for t in texts], marks, [[r[0] for r in f] for f in found], [[r[2] for r in f] for f in found]]
+            columns = [ids, digests, [len(t) for t in texts], marks, [[r[0] for r in f] for f in found], [[r[2] for r in f] for f in found], [[r[3] for r in f] for f in found]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
@@ -122,7 +130,7 @@ def _stretches(length: int, standing: BitFilter, shared: BitFilter, hot: BitFilt
                 ok = shared.test(keys)
                 very = hot.test(keys) & ok if hot is not None else np.zeros(len(keys), dtype=bool)
                 for r in np.flatnonzero(ok).tolist():
-                    _, start, n = found[r]
+                    _, start, n, _ = found[r]
                     if very[r]:
                         for p in range(start, start + n):
                             d = digest(texts[i][p : p + length])
@@ -180,10 +188,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     A null text is empty. Rows are told apart by position only, so repeated rows repeat each other. Each string belongs to the group named by the least hash of its grams, so equal strings meet; groups that occur once are dropped, copies of a text send it once, and what is left is sorted lane by lane. Groups of more than HOT stretches are compared string by string instead, dealt by the strings' own 128-bit hashes.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = cut(base.mapInArrow(_survey(length), "doc_id long, digest binary, n_bytes long, mark long, keys array<long>, counts array<int>"))
+    seen = cut(base.mapInArrow(_survey(length), "doc_id long, digest binary, n_bytes long, mark long, keys array<long>, counts array<int>, places array<int>"))
     copies = seen.groupBy("digest").agg(F.count("*").alias("copies"), F.min("mark").alias("mark"), F.max("n_bytes").alias("n_bytes"))
-    rows = seen.join(copies.select("digest", "mark"), ["digest", "mark"], "left_semi").select("digest", F.explode(F.arrays_zip("keys", "counts")).alias("r")).select("digest", F.col("r.keys").alias("key"), F.col("r.counts").alias("n"))
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("n")).where("c > 1"))
+    rows = seen.join(copies.select("digest", "mark"), ["digest", "mark"], "left_semi").select("digest", F.explode(F.arrays_zip("keys", "counts", "places")).alias("r")).select(F.col("r.keys").alias("key"), F.col("r.counts").alias("n"), F.col("r.places").alias("places"))
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("places").alias("places")).where("places > 1"))
     n_keys, size, top = shared.agg(F.count("*"), F.sum(F.col("n") + F.col("c") * (length - 1)), F.max("c")).first()
     size = size or 0
     wanted = BitFilter(shared.select("key"), n_keys)
@@ -208,30 +216,31 @@ def _kept(text: bytes, spans: list[dict]) -> bytes:
     return b"".join(out) + text[at:]
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, digest, n_bytes, spans, kept) for the rows of docs of which something is removed; kept holds the remaining bytes. Only these rows' texts are shuffled."""
-    _, spans = repeated_spans(docs, length)
-    return _cut_rows(docs, spans)
-
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """docs with the repeated bytes taken out of the text, all columns and rows kept. A character of which only a part is left goes too; n_chars, if there is such a column, follows the changed texts."""
+    _, spans = repeated_spans(docs.withColumnRenamed(text, "text") if text != "text" else docs, length)
+    columns = [c for c in docs.columns if c not in ("_digest", "_whole", "_spans")]
+    docs = docs.select(*columns)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-def _cut_rows(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    partial = spans.where("not whole")
-    wanted = BitFilter(partial.select("digest").mapInArrow(_halves, "g long"), partial.count())
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data in slices(batches):
-            d = [digest(t) for t in data]
-            ok = wanted.test(np.frombuffer(b"".join(x[:8] for x in d), "<u8"))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(d, pa.binary()), pa.array([len(t) for t in data], pa.int64()), pa.array([t if k else None for t, k in zip(data, ok, strict=True)], pa.binary())], ["doc_id", "digest", "n_bytes", "data"])
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([digest(t) for t in texts], pa.binary())], [*rows.schema.names, "_digest"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [b"" if t is None else _kept(t, s) for t, s in zip(b.column("data").to_pylist(), b.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "digest", "n_bytes", "spans")), pa.array(kept, pa.binary())], ["doc_id", "digest", "n_bytes", "spans", "kept"])
-
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = base.mapInArrow(texts, "doc_id long, digest binary, n_bytes long, data binary").join(spans, "digest").withColumn("data", F.when(~F.col("whole"), F.col("data")))
-    return rows.select("doc_id", "digest", "n_bytes", "spans", "data").mapInArrow(remove, "doc_id long, digest binary, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+            at = columns.index(text)
+            spans_ = b.column("_spans").to_pylist()
+            new = [t if not s else _kept(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(b.column(at).to_pylist(), spans_, strict=True)]
+            out = list(b.columns[: len(columns)])
+            out[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([*out, pa.array([bool(s) for s in spans_])], [*columns, "_changed"])
+
+    met = docs.mapInArrow(name, f"{types}, _digest binary").join(spans.select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans")), "_digest", "left")
+    out = met.select(*columns, "_spans").mapInArrow(remove, f"{types}, _changed boolean")
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,17 +10,33 @@ GAP, END = b"\xff\x00", b"\xff\x00\x01"
 
 def smaller_than_next(t: np.ndarray) -> np.ndarray:
     """For each position whether its suffix is smaller than the next position's; the last one counts as larger."""
-    n = len(t)
-    change = np.flatnonzero(t[:-1] != t[1:])
-    # the end of the run of equal bytes that a position stands in decides
-    at = np.searchsorted(change, np.arange(n))
-    inside = at < len(change)
-    end = change[np.minimum(at, len(change) - 1)] if len(change) else np.zeros(n, dtype=np.int64)
-    out = np.zeros(n, dtype=bool)
-    out[inside] = t[end[inside]] < t[end[inside] + 1]
+    out = np.zeros(len(t), dtype=bool)
+    np.less(t[:-1], t[1:], out=out[:-1])
+    same = np.flatnonzero(t[:-1] == t[1:])
+    if len(same):
+        # in a run of equal bytes the byte after the run decides
+        last = np.flatnonzero(np.concatenate([np.diff(same) > 1, [True]]))
+        out[same] = np.repeat(out[same[last] + 1], np.diff(np.concatenate([[-1], last])))
     return out
 
 
+def _sorted_directly(text: bytes, t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """at in the order of the suffixes' first depth bytes; one bucket of equal first two bytes is spelled out at a time."""
+    pair = t[at].astype(np.uint16) << np.uint16(8) | t[at + 1]
+    at = at[np.argsort(pair, kind="stable")]
+    pair.sort()
+    cuts = np.flatnonzero(np.diff(pair)) + 1
+    out = []
+    for bucket in np.split(at, cuts):
+        if len(bucket) > 1:
+            own = bucket.tolist()
+            # latin-1 strings compare as their bytes do
+            keys = [text[i + 2 : i + depth].decode("latin-1") for i in own]
+            bucket = bucket[np.array(sorted(range(len(own)), key=keys.__getitem__), dtype=np.int64)]
+        out.append(bucket)
+    return np.concatenate(out) if out else at
+
+
 def two_stage_order(text: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The positions ``wanted`` (a mask), sorted by their suffixes' first ``depth`` bytes at least.
 
@@ -35,11 +51,7 @@ def two_stage_order(text: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
         need[edge] = True
         edge = edge[~small[edge] & (edge + 1 < len(t))] + 1
         edge = edge[~need[edge]]
-    latin = text.decode("latin-1")
-    direct = np.flatnonzero(need & small)
-    prefixes = [latin[i : i + depth] for i in direct.tolist()]
-    direct = direct[np.array(sorted(range(len(direct)), key=prefixes.__getitem__), dtype=np.int64)]
-    del prefixes
+    direct = _sorted_directly(text, t, np.flatnonzero(need & small), depth)
     first = t[direct]
     bounds = np.searchsorted(first, np.arange(257))
     fed: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -71,9 +83,10 @@ def repeated(text: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
     """Mask of the wanted positions whose ``depth`` bytes stand at another wanted position too, by the common prefixes of neighbours in suffix order."""
     order = two_stage_order(text, wanted, depth)
     hit = np.zeros(len(text), dtype=bool)
-    if len(order) > 1:
-        at = order.tolist()
+    for k in range(0, len(order) - 1, 100_000):
+        part = order[k : k + 100_001]
+        at = part.tolist()
         same = np.array([text[a : a + depth] == text[b : b + depth] for a, b in zip(at, at[1:])], dtype=bool)  # noqa: B905
-        hit[order[:-1][same]] = True
-        hit[order[1:][same]] = True
+        hit[part[:-1][same]] = True
+        hit[part[1:][same]] = True
     return hit
