@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pointloom.llm import chat, decontaminate, jaccard, packing, scoring, substrings, toxicity, urls, vectors
+import corpus_pipeline
+from pointloom.llm import chat, decontaminate, jaccard, packing, quality, scoring, substrings, toxicity, urls, vectors
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_sum_of_squares_packing": packing.query,
     "op2_hidden_markov_scores": scoring.query,
     "op3_winnowing_decontamination": decontaminate.query,
     "op4_toxicity_trees": toxicity.query,
     "op8_subspace_pigeonhole": vectors.query,
+    "op9_kneser_ney_quality": quality.query,
     "op10_bayesian_jaccard": jaccard.query,
     "op5_suffix_dedup": substrings.query,
     "op6_chat_snapshots": chat.query,
