@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry, labels, stats, text
@@ -47,14 +47,15 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """method, run, ms of lineitem: suppliers as methods, prices as times."""
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("method"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run"), F.col("l_extendedprice").cast("double").alias("ms"), F.col("l_quantity").cast("long").alias("clusters"))
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_partkey")
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("method"), F.row_number().over(order).cast("long").alias("run"), F.col("l_extendedprice").cast("double").alias("ms"), F.col("l_quantity").cast("long").alias("clusters"))
 
 
 PTS = "pts as (select vec_id as idx, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z, label from embeddings)"
 D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 ALL = f"allp as (select a.idx as i, b.idx as j, {D2} as d2, (floor(b.x / {TOL}) - floor(a.x / {TOL}) + 1) * 9 + (floor(b.y / {TOL}) - floor(a.y / {TOL}) + 1) * 3 + (floor(b.z / {TOL}) - floor(a.z / {TOL}) + 1) as k from pts a, pts b where {D2} <= {TOL} * {TOL})"
 FRAMES = "fr as (select datediff('day', date '2024-01-01', cast(ts as date)) as frame, event_id as idx, value / 10 as x, cast(user_id % 20 as double) as y, hour(ts) / 4.0 as z, case event_type when 'click' then 10 when 'view' then 50 when 'purchase' then 70 else 71 end as semantic from events)"
-RUNS = "rn as (select l_suppkey as method, l_orderkey * 10 + l_linenumber as run, cast(l_extendedprice as double) as ms, cast(l_quantity as bigint) as clusters from lineitem)"
+RUNS = "rn as (select l_suppkey as method, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_partkey) as run, cast(l_extendedprice as double) as ms, cast(l_quantity as bigint) as clusters from lineitem)"
 
 
 def capped_sql(n: int, order: str = "(j <> i), d2, j") -> str:

@@ -55,7 +55,7 @@ def tolerance_table(runs: DataFrame, base: str, other: str, trim: int = 1) -> Da
 def frame_timing(runs: DataFrame, trim: int = 0) -> DataFrame:
     """Per frame (dataset = sequence/frame) trimmed means, then per-sequence and overall rows."""
     t = stats.trimmed_mean(runs, ("dataset", "method", "max_n"), "ms", trim, ("run",), "ms").withColumn("sequence", F.substring_index("dataset", "/", 1))
-    return t.rollup("sequence", "method").agg(F.count("*").alias("frames"), F.avg("ms").alias("avg_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms")).where("method is not null").withColumn("avg_fps", stats.fps("avg_ms"))
+    return t.cube("sequence", "method").agg(F.count("*").alias("frames"), F.avg("ms").alias("avg_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms")).where("method is not null").withColumn("avg_fps", stats.fps("avg_ms"))
 
 
 def compare_caps(table: DataFrame, caps: Sequence[int] = (0, 50)) -> DataFrame:
