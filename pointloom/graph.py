@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        e = cut(_stars(_stars(e, True), False))
+        e = cut(_stars(_stars(e, True), False), before[0])
         after = mark(e)
         if after == before:
             break

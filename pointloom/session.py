@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes of one Arrow batch that a Python stage receives; bounds a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
+#: Rows of one checkpoint file, about, where their number is known.
+FILE_ROWS = 100_000
+
 _shipped: set[str] = set()
 
 
@@ -28,9 +31,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that later steps neither recompute nor depend on lost executors."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that later steps neither recompute nor depend on lost executors. rows: about how many there will be, if known; small results then become few files."""
     checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     return df.checkpoint(eager=True)
 
 
