@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.graph import connected_components
+from pointloom.operators.kernels import components
 from pointloom.session import cut, prepare, table
 
 #: Dimensions of a block, and members of a strip that one task compares with as many.
@@ -64,8 +65,30 @@ def _strips(threshold: float):
     return run
 
 
+class _Spanning:
+    """Groups of linked rows, kept as one edge a row however many links are added."""
+
+    def __init__(self, n: int):
+        self.n, self.a, self.b, self.held = n, [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.held += len(a)
+        if self.held > 500_000:
+            a, b = self.edges()
+            self.a, self.b, self.held = [a], [b], len(a)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        low = components(self.n, np.concatenate(self.a), np.concatenate(self.b))
+        at = np.flatnonzero(low != np.arange(self.n))
+        return at, low[at]
+
+
 def _range_join(threshold: float):
-    """Pairs of a tile within the block's budget whose block norms don't already differ by more than the whole budget."""
+    """Pairs of a tile within the block's budget whose block norms don't already differ by more than the whole budget, as edges that span their groups."""
     budget = 2 - 2 * threshold
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -78,7 +101,7 @@ def _range_join(threshold: float):
         b = b[np.argsort(part[b, 0], kind="stable")]
         line = part[b, 0]
         limit = (np.sqrt(budget * part.shape[1] / dim) + SLACK) ** 2
-        reach, left, right = np.sqrt(limit), [], []
+        reach, found = np.sqrt(limit), _Spanning(len(keys))
         for p in a.tolist():
             # the sweep along the sorted first coordinate
             lo, hi = np.searchsorted(line, (part[p, 0] - reach, part[p, 0] + reach))
@@ -87,20 +110,60 @@ def _range_join(threshold: float):
             q = q[(d * d).sum(axis=1) <= limit]
             if len(q):
                 d = norms[q] - norms[p]
-                q = q[(d * d).sum(axis=1) <= budget + SLACK]
-                q = q[(home[q] | home[p]) & ((keys[q] > keys[p]) if i == j else (keys[q] != keys[p]))]
-                left.extend([keys[p]] * len(q))
-                right.extend(keys[q])
-        return pa.table([pa.array([min(x) for x in zip(left, right, strict=True)], pa.string()), pa.array([max(x) for x in zip(left, right, strict=True)], pa.string())], ["a", "b"])
+                q = q[((d * d).sum(axis=1) <= budget + SLACK) & (home[q] | home[p]) & (q != p)]
+                found.add(np.full(len(q), p), q)
+        left, right = found.edges()
+        return pa.table([pa.array(keys[left], pa.string()), pa.array(keys[right], pa.string())], ["a", "b"])
 
     return run
 
 
+def _verify(threshold: float):
+    """(key, other, links) from the vectors of candidate groups: with other null, links that a class gains in this tile; else an edge that spans linked classes."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        keys, weight, side = np.array(rows.column("key").to_pylist(), dtype=object), rows.column("weight").to_numpy(), rows.column("tile").to_numpy()
+        groups: dict[str, list[int]] = {}
+        for r, c in enumerate(rows.column("comp").to_pylist()):
+            groups.setdefault(c, []).append(r)
+        vectors = rows.column("v").combine_chunks()
+        flat, at = vectors.flatten().to_numpy(), vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+        links, found = np.zeros(len(keys), dtype=np.int64), _Spanning(len(keys))
+        for members in groups.values():
+            g = np.array(members)
+            x = np.stack([flat[at[r] : at[r + 1]] for r in members])
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            n = np.sqrt((x * x).sum(axis=1))
+            a, b = np.flatnonzero(side[g] == i), np.flatnonzero(side[g] == j)
+            for k in range(0, len(a), 256):
+                part = a[k : k + 256]
+                near = x[part] @ x[b].T / (n[part][:, None] * n[b]) >= threshold
+                if i == j:
+                    near &= b[None] > part[:, None]
+                links[g[part]] += near @ weight[g[b]]
+                links[g[b]] += weight[g[part]] @ near
+                p, q = np.nonzero(near)
+                found.add(g[part[p]], g[b[q]])
+        left, right = found.edges()
+        some = np.flatnonzero(links)
+        return pa.table([pa.array([*keys[left], *keys[some]], pa.string()), pa.array([*keys[right], *[None] * len(some)], pa.string()), pa.array([*[0] * len(left), *links[some].tolist()], pa.int64())], ["key", "other", "links"])
+
+    return run
+
+
+def _tiles(rows: DataFrame, group: list[str], n: str = "n") -> DataFrame:
+    """rows of groups with n members, dealt over the tiles (i, j) of their group: each pair of members meets in one tile."""
+    dealt = rows.withColumn("_t", F.ceil(F.col(n) / TILE_ROWS).cast("int")).withColumn("tile", F.pmod(F.xxhash64("key", *group), F.col("_t")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
+    return dealt.withColumns({"i": F.least("tile", "_o"), "j": F.greatest("tile", "_o")})
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label).
 
     Rows are linked if their labels are equal and not null and the cosine of their embeddings in double precision is at least the threshold. Null, empty or zero embeddings, those with a null, infinite or NaN component, and such of unequal length link with nothing. n_links counts the other linked rows; component_id is the smallest vec_id reachable by links; kept: it is the row's own. Repeated rows are rows of their own (and link); a null vec_id is never the smallest unless all are null. Extra columns are ignored.
-    Equal vectors of a label become one weighted class first.
+    Equal vectors of a label become one weighted class first. The range joins give groups of candidates (connected components), within which every pair is verified in tiles of bounded size; pairs never become rows.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
     biggest = F.array_max(F.transform("v", F.abs))
@@ -110,18 +173,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = cut(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v")))
     strips = classes.select("key", "label", "v", F.size("v").alias("dim")).mapInArrow(_strips(threshold), "label long, dim int, block int, strip long, home boolean, key string, part binary, norms binary")
     cell = ["label", "dim", "block", "strip"]
-    tiles = strips.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE_ROWS).cast("int")).drop("n")
-    dealt = strips.join(tiles, cell).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("tiles", "other")
-    pairs = dealt.groupBy(*cell, "i", "j").applyInArrow(_range_join(threshold), "a string, b string").distinct()
-    full = classes.select("key", "v", "weight")
-    met = pairs.join(full.select(F.col("key").alias("a"), F.col("v").alias("va"), F.col("weight").alias("wa")), "a").join(full.select(F.col("key").alias("b"), F.col("v").alias("vb"), F.col("weight").alias("wb")), "b")
-
-    def dot(x: str, y: str):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-
-    links = cut(met.where(dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb"))) >= threshold).select("a", "b", "wa", "wb"))
-    more = links.select(F.col("a").alias("key"), F.col("wb").alias("w")).unionByName(links.select(F.col("b").alias("key"), F.col("wa").alias("w"))).groupBy("key").agg(F.sum("w").alias("w"))
+    counts = strips.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
+    near = _tiles(strips.join(counts, cell), cell).select(*cell, "i", "j", "tile", "home", "key", "part", "norms").groupBy(*cell, "i", "j").applyInArrow(_range_join(threshold), "a string, b string").distinct()
+    candidates = connected_components(near, "a", "b").withColumnRenamed("node", "key").withColumnRenamed("component", "comp")
+    members = classes.join(candidates, "key").select("key", "comp", "weight", "v")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # small groups share a tile, large ones have several
+    lane = F.when(F.col("n") <= TILE_ROWS, F.pmod(F.xxhash64("comp"), F.lit(max(1, total // TILE_ROWS)))).otherwise(F.xxhash64("comp"))
+    tiles = _tiles(members.join(sizes, "comp"), ["comp"]).withColumn("lane", lane).select("lane", "i", "j", "tile", "comp", "key", "weight", "v")
+    found = cut(tiles.groupBy("lane", "i", "j").applyInArrow(_verify(threshold), "key string, other string, links long"))
+    more = found.where("other is null").groupBy("key").agg(F.sum("links").alias("w"))
+    links = found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b"))
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     least = groups.join(classes.select("key", "rep"), "key").groupBy("component").agg(F.min("rep").alias("least"))
     state = classes.select("key", "rep", "weight").join(more, "key", "left").join(groups.join(least, "component").select("key", "least"), "key", "left")
