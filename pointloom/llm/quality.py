@@ -73,31 +73,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(n, pa.int64())], ["gram", "c"])
 
 
+def _discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 1, 2 and more, from the counts of counts; 0.5, 1 and 1.5 where those aren't defined."""
+    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
+    if min(n1, n2, n3, n4) == 0:
+        return np.array([0.0, 0.5, 1.0, 1.5])
+    y = n1 / (n1 + 2 * n2)
+    d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return np.array([0.0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))])
+
+
 def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """log2 probability of each ORDER-gram's last symbol after the others, as a dense table.
 
-    Lower orders use continuation counts; each order has three discounts from its counts of counts, falling back to 0.5, 1 and 1.5 where those aren't defined; the lowest order is interpolated with the uniform distribution.
+    Lower orders use continuation counts; each order has three discounts of its own and is interpolated with the next lower one, the lowest with the uniform distribution. The table is filled some contexts at a time.
     """
-    c = np.zeros(SYMBOLS**ORDER, dtype=np.float64)
-    c[grams] = counts
-    levels = [c]
-    for _ in range(ORDER - 1):
-        levels.append((levels[-1].reshape(SYMBOLS, -1) > 0).sum(axis=0).astype(np.float64))
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for c in reversed(levels):
-        n1, n2, n3, n4 = (float((c == k).sum()) for k in (1, 2, 3, 4))
-        d = [0.5, 1.0, 1.5]
-        if min(n1, n2, n3, n4) > 0:
-            y = n1 / (n1 + 2 * n2)
-            d = [min(max(x, 0.05), k + 0.95) for k, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
-        off = np.select([c == 1, c == 2, c > 2], d, 0.0)
-        rows = c.reshape(-1, SYMBOLS)
-        total = rows.sum(axis=1, keepdims=True)
-        free = off.reshape(-1, SYMBOLS).sum(axis=1, keepdims=True)
-        lower = np.tile(p.reshape(-1, SYMBOLS), (max(1, len(rows) // max(1, p.size // SYMBOLS)), 1))[: len(rows)]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p = np.where(total > 0, (rows - off.reshape(-1, SYMBOLS) + free * lower) / total, lower).ravel()
-    return np.log2(p).astype(np.float32)
+    order = np.argsort(grams, kind="stable")
+    levels = [(np.asarray(grams, np.int64)[order], np.asarray(counts, np.float64)[order])]
+    for n in range(ORDER - 1, 0, -1):
+        levels.append(tuple(np.unique(levels[-1][0] % SYMBOLS**n, return_counts=True)))
+    low = np.full(SYMBOLS, 1 / SYMBOLS)
+    for n, (g, c) in enumerate(reversed(levels), start=1):
+        d, step = _discounts(c), min(SYMBOLS**n, 1 << 20)
+        p = np.empty(SYMBOLS**n, dtype=np.float32 if n == ORDER else np.float64)
+        for at in range(0, len(p), step):
+            a, z = np.searchsorted(g, (at, at + step))
+            own = np.zeros(step)
+            own[g[a:z] - at] = c[a:z]
+            rows = own.reshape(-1, SYMBOLS)
+            off = d[np.minimum(rows, 3).astype(np.int64)]
+            total = rows.sum(axis=1, keepdims=True)
+            back = low[np.arange(at, at + step) % len(low)].reshape(-1, SYMBOLS)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mixed = np.where(total > 0, (rows - off + off.sum(axis=1, keepdims=True) * back) / total, back).ravel()
+            p[at : at + step] = np.log2(mixed) if n == ORDER else mixed
+        low = p
+    return low
 
 
 @dataclass
