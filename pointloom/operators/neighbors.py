@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import AXES, cell, finite, squared_distance
+from pointloom.operators import kernels
+from pointloom.session import prepare
 
 ALL_OFFSETS = tuple(product((-1, 0, 1), repeat=3))
 #: The own cell and one of each pair of opposite neighbours.
@@ -58,6 +62,23 @@ def half_pairs(points: DataFrame, tol: float, keys: Sequence[str] = ()) -> DataF
     return met.select(*keys, F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "d2")
 
 
+def knn_pairs(points: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, i, j, d2, rank): the k nearest points of each point of the same key, itself included, by (d2, j); one cloud a task."""
+    prepare(points.sparkSession)
+    types = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx", kind="stable").reset_index(drop=True)
+        near, d2 = kernels.knn(rows[list(AXES)].to_numpy(np.float64), k)
+        idx = rows["idx"].to_numpy()
+        out = pd.DataFrame({"i": np.repeat(idx, near.shape[1]), "j": idx[near.ravel()], "d2": d2.ravel(), "rank": np.tile(np.arange(1, near.shape[1] + 1), len(idx))})
+        for n, c in enumerate(keys):
+            out.insert(n, c, rows[c].iloc[0])
+        return out
+
+    return finite(points).groupBy(*keys).applyInPandas(run, f"{types}{', ' if keys else ''}i long, j long, d2 double, rank long")
+
+
 def nearest_distance(queries: DataFrame, points: DataFrame, keys: Sequence[str] = (), first: float = 0.25, rounds: int = 12) -> DataFrame:
     """(keys, i, d2): distance of each query point to the nearest point of its key.
 

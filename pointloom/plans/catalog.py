@@ -138,6 +138,22 @@ def block_seeded_clusters(spark, sf):
     return cluster.block_seeded(cloud(spark, sf), 0.03, MIN_SIZE, size=0.1)
 
 
+@query(f"with recursive {PTS}, {ALL}, lt as (select * from allp where d2 < {TOL} * {TOL} or i = j), prs as (select i, j, d2 from (select *, row_number() over (partition by i order by (j <> i), d2, j) as r from lt) where r <= 5), {clusters_sql('prs')} {EMIT}")
+def capped_graph_strict(spark, sf):
+    return cluster.capped_graph(cloud(spark, sf), TOL, MIN_SIZE, 5, strict=True)
+
+
+@query(f"with {PTS}, a as (select a.idx as i, b.idx as j, {D2} as d2 from pts a, pts b) select i, j, round(d2, 9) as d2, rank from (select *, row_number() over (partition by i order by d2, j) as rank from a) where rank <= 5")
+def knn(spark, sf):
+    return neighbors.knn_pairs(cloud(spark, sf), 5).select("i", "j", F.round("d2", 9).alias("d2"), "rank")
+
+
+@query(f"with recursive f as (select vec_id as idx, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z, cast(label as bigint) as frame from embeddings), prs as (select a.idx as i, b.idx as j from f a, f b where a.frame = b.frame and {D2} <= 0.01), ed as (select i, j from prs union select j, i from prs), re(i, j) as (select idx, idx from f union select re.i, ed.j from re join ed on ed.i = re.j), cl as (select i as idx, min(j) as c from re group by i), sz as (select c, count(*) as n from cl group by c) select frame, cl.idx, case when n >= 3 then cl.c end as cluster_id, case when n >= 3 then n end as cluster_size from cl join sz on sz.c = cl.c join f on f.idx = cl.idx")
+def clusters_by_frame(spark, sf):
+    p = cloud(spark, sf).withColumn("frame", F.col("label").cast("long"))
+    return cluster.euclidean(p, 0.1, 3, ("frame",), "distributed")
+
+
 VOX = "vx as (select min(idx) as idx, round(avg(x), 9) as x, round(avg(y), 9) as y, round(avg(z), 9) as z, count(*) as n from pts group by floor(x / 0.1), floor(y / 0.1), floor(z / 0.1))"
 
 

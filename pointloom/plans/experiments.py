@@ -52,6 +52,28 @@ def tolerance_table(runs: DataFrame, base: str, other: str, trim: int = 1) -> Da
     return stats.speedups(t, ("dataset", "tol"), "method", base, "trimmed_mean")
 
 
+def with_targets(table: DataFrame, manifest: DataFrame, key: str = "points") -> DataFrame:
+    """Timing rows with the manifest row of their number of points; a number without one is an error."""
+    met = table.join(F.broadcast(manifest.withColumnRenamed("target_points", key)), key, "left")  # a manifest has one row for each target
+    missing = F.raise_error(F.concat(F.lit("target not in manifest: "), F.col(key).cast("string")))
+    return met.withColumn("ply_path", F.when(F.col("ply_path").isNull(), missing).otherwise(F.col("ply_path")))
+
+
+def cloth_timing(spark: SparkSession, frames: dict[str, DataFrame], tol: float = 0.2, min_size: int = 100, max_n: int = 50, **cloth) -> DataFrame:
+    """One row for each frame (seq, frame, idx, x, y, z): points before and after the cloth filter, its time, the time of seeded clustering, their sum, and clusters."""
+    rows = []
+    for name, points in frames.items():
+        points = cut(points)
+        began = time.perf_counter()
+        rest = cut(off_ground(points, cloth_ground(points, **cloth)))
+        n = rest.count()
+        filtered = time.perf_counter()
+        found = cluster(rest, "seeded", tol=tol, min_size=min_size, max_n=max_n, keys=("seq", "frame")).agg(F.countDistinct("cluster_id")).first()[0]
+        rows.append((name, points.count(), n, (filtered - began) * 1000, (time.perf_counter() - filtered) * 1000, found))
+    out = spark.createDataFrame(rows, "dataset string, raw_points long, nonground_points long, csf_ms double, cluster_ms double, clusters long")
+    return out.withColumn("total_ms", F.col("csf_ms") + F.col("cluster_ms")).withColumns({"cluster_fps": stats.fps("cluster_ms"), "total_fps": stats.fps("total_ms")})
+
+
 def frame_timing(runs: DataFrame, trim: int = 0) -> DataFrame:
     """Per frame (dataset = sequence/frame) trimmed means, then per-sequence and overall rows."""
     t = stats.trimmed_mean(runs, ("dataset", "method", "max_n"), "ms", trim, ("run",), "ms").withColumn("sequence", F.substring_index("dataset", "/", 1))
