@@ -18,7 +18,7 @@ from pointloom.llm.boosting import BoostedTrees, Isotonic
 from pointloom.session import prepare, table
 
 #: Bounds of the labelled sample that the model is fitted on, and of the lexicon; scoring has none.
-SAMPLE_ROWS, SAMPLE_CHARS, LEXICON_WORDS = 12_000, 200_000, 5_000
+SAMPLE_ROWS, SAMPLE_CHARS, LEXICON_WORDS = 8_000, 200_000, 5_000
 #: Second-person words of the covered languages.
 SECOND_PERSON = frozenset(w.encode() for w in "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie ihnen usted ustedes tú ti vosotros vuestro vuestra".split())
 #: Characters read as letters in obfuscated words.
@@ -60,7 +60,7 @@ class Lexicon:
         capitals = sum(map(text.count, _CAPITALS))
         marks = [text.count(c) for c in (b"!", b"?", b"*", b"#", b"@", b"%")]
         counts = [sum(s >= t for s in scores) for t in TIERS]
-        return [np.log1p(len(words)), *(100 * c / n for c in counts), *map(float, counts), scores[0] if scores else 0.0, sum(scores[:3]), 1 / (1 + near), 100 * len(hidden) / n, capitals / size, shouted / max(1, len(raw)), sum(marks) / size, marks[0] / size, 100 * len(plain) / n, 100 * len(_STRETCHED.findall(text)) / n, 1 - len(set(words)) / n]
+        return [*(100 * c / n for c in counts), *map(float, counts), scores[0] if scores else 0.0, sum(scores[:3]), 1 / (1 + near), 100 * len(hidden) / n, capitals / size, shouted / max(1, len(raw)), sum(marks) / size, marks[0] / size, 100 * len(plain) / n, 100 * len(_STRETCHED.findall(text)) / n, 1 - len(set(words)) / n]
 
 
 _CAPITALS = [bytes([c]) for c in range(65, 91)]
