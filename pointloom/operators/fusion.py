@@ -33,7 +33,7 @@ def decide(points: DataFrame, voxel: float, ghost_radius: float = 0.0, semantic:
     # arrival numbers by frame: counts of earlier frames plus the rank within the frame
     per_frame = p.groupBy("frame").agg(F.count("*").alias("n"))
     before = per_frame.withColumn("b", F.coalesce(F.sum("n").over(Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("frame", "b")
-    p = p.join(F.broadcast(before), "frame").withColumn("seq_no", F.col("b") + F.row_number().over(Window.partitionBy("frame").orderBy("idx")) - 1).drop("b")
+    p = p.join(before, "frame").withColumn("seq_no", F.col("b") + F.row_number().over(Window.partitionBy("frame").orderBy("idx")) - 1).drop("b")
     if ghost_radius <= 0:
         cells = [semantic, "vx", "vy", "vz"]
         first = p.groupBy(*cells).agg(F.min("seq_no").alias("f"))
@@ -56,7 +56,7 @@ def _cut_at(decided: DataFrame, target: int) -> DataFrame:
     run = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
     frames = per_frame.withColumn("b", F.coalesce(F.sum("n").over(run), F.lit(0)))
     last = frames.where((F.col("b") < target) & (F.col("b") + F.col("n") >= target)).select("frame", "b")
-    inside = decided.where("status = 'accepted'").join(F.broadcast(last), "frame")
+    inside = decided.where("status = 'accepted'").join(F.broadcast(last), "frame")  # one row at most
     r = inside.withColumn("k", F.col("b") + F.row_number().over(Window.partitionBy("frame").orderBy("idx")))
     return r.where(F.col("k") == target).agg(F.max("seq_no").alias("stop"))
 
@@ -112,7 +112,7 @@ def alignment(points: DataFrame, poses: DataFrame, tr: Sequence[float] | None, g
 
 def make_sample(points: DataFrame, frames: DataFrame, classes: Sequence[int] = (), ground: Sequence[int] = (), poses: DataFrame | None = None, tr: Sequence[float] | None = None) -> DataFrame:
     """Chosen frames as one cloud: filtered by class, without ground, moved by their poses, with a new dense idx by (frame, idx); frames: (sample, frame)."""
-    p = points.join(F.broadcast(frames), "frame")
+    p = points.join(frames, "frame")
     if classes:
         p = p.where(F.col("semantic").isin(*classes))
     if ground:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.session import cut
+
 
 def stride_sample(points: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
     """Every stride-th point of each key, stride = max(1, n div max(1, k)); may exceed k."""
@@ -15,10 +17,19 @@ def stride_sample(points: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFr
     return met.where(F.col("idx") % F.greatest(F.lit(1), F.floor(F.col("_n") / max(1, k))) == 0).drop("_n")
 
 
+def with_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """df with the place of each row in the order, from 0. Rows are range-partitioned and ranked within partitions; only partition sizes meet in one task."""
+    parts = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return parts.join(before, "_p").withColumn(name, (F.col("_b") + within).cast("long")).drop("_p", "_b")
+
+
 def even_select(df: DataFrame, order: str, limit: int) -> DataFrame:
     """Rows at positions floor(i * n / limit) of the order; all rows if there are no more than limit."""
     n = df.agg(F.count("*").alias("_n"))
-    r = df.withColumn("_r", F.row_number().over(Window.orderBy(order)) - 1).join(F.broadcast(n))
+    r = with_rank(df, [order], "_r").join(F.broadcast(n))  # a single row
     # the position r is taken if some i has floor(i n / limit) = r
     i = F.ceil(F.col("_r") * limit / F.col("_n"))
     return r.where((F.col("_n") <= limit) | (F.floor(i * F.col("_n") / limit) == F.col("_r")) & (i < limit)).drop("_r", "_n")
