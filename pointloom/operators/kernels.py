@@ -2,82 +2,91 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node reachable by the edges (a, b), for nodes 0..n-1."""
     low = np.arange(n)
-    while True:
-        m = np.minimum(low[a], low[b])
-        new = low.copy()
-        np.minimum.at(new, low[a], m)
-        np.minimum.at(new, low[b], m)
-        new = new[new]
-        new = np.minimum(new, new[new])
-        if (new == low).all():
-            return low
-        low = new
-
-
-def _cells(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order by cell, distinct cells, first row and number of rows of each."""
-    order = np.lexsort(c.T[::-1])
-    s = c[order]
-    new = np.concatenate([[True], (s[1:] != s[:-1]).any(axis=1)]) if len(s) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    return order, s[first], first, np.diff(np.concatenate([first, [len(s)]]))
-
-
-def directed_pairs(xyz: np.ndarray, tol: float, strict: bool = False, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, d2, k) within tol, i = j included; k numbers the probed cell offset from (-1, -1, -1) up."""
+    while len(a):
+        p, q = low[a], low[b]
+        open_ = p != q
+        a, b, p, q = a[open_], b[open_], p[open_], q[open_]
+        # hook the larger root under the smaller one, then let every node point at its root
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            up = low[low]
+            if (up == low).all():
+                break
+            low = up
+    return low
+
+
+def half_pairs(xyz: np.ndarray, tol: float, strict: bool = False, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d2, cells) of each unordered pair of different points within tol, once; cells are the points' grid cells.
+
+    Points are sorted by cell; cells along z are neighbours in that order, so five ranges cover half of the 27 cells.
+    """
     n = len(xyz)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0), z
+        return z, z, np.zeros(0), np.zeros((0, 3), np.int64)
     c = np.floor(xyz / tol).astype(np.int64)
-    c -= c.min(axis=0) - 1
-    span = c.max(axis=0) + 2
-    code = (c[:, 0] * span[1] + c[:, 1]) * span[2] + c[:, 2]
+    shifted = c - c.min(axis=0) + 1
+    span = shifted.max(axis=0) + 2
+    code = (shifted[:, 0] * span[1] + shifted[:, 1]) * span[2] + shifted[:, 2]
     order = np.argsort(code, kind="stable")
-    sorted_code = code[order]
+    code = code[order]
+    x, y, z = (np.ascontiguousarray(xyz[order, k]) for k in range(3))
+    here, limit = np.arange(n), tol * tol
     out: list[tuple[np.ndarray, ...]] = []
-    for k, o in enumerate(product((-1, 0, 1), repeat=3)):
-        target = code + (o[0] * span[1] + o[1]) * span[2] + o[2]
-        lo, hi = np.searchsorted(sorted_code, target, "left"), np.searchsorted(sorted_code, target, "right")
-        count = hi - lo
-        some = np.flatnonzero(count)
+    for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+        target = code + (dx * span[1] + dy) * span[2]
+        lo = here + 1 if (dx, dy) == (0, 0) else np.searchsorted(code, target - 1, "left")
+        count = np.searchsorted(code, target + 1, "right") - lo
+        total = np.cumsum(count)
         at = 0
-        while at < len(some):  # bounded numbers of pairs at a time
-            total = np.cumsum(count[some[at:]])
-            m = max(1, int(np.searchsorted(total, chunk, "right")))
-            rows = some[at : at + m]
-            i = np.repeat(rows, count[rows])
-            step = np.arange(len(i)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
-            j = order[np.repeat(lo[rows], count[rows]) + step]
-            d = xyz[i] - xyz[j]
-            d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
-            ok = (d2 < tol * tol if strict else d2 <= tol * tol) | (i == j)
-            out.append((i[ok], j[ok], d2[ok], np.full(int(ok.sum()), k)))
-            at += m
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+        while at < n:  # bounded numbers of pairs at a time
+            m = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, "right")))
+            k = count[at:m]
+            i = np.repeat(here[at:m], k)
+            j = np.arange(len(i)) + np.repeat(lo[at:m] - (np.cumsum(k) - k), k)
+            d = x[i] - x[j]
+            d2 = d * d
+            d = y[i] - y[j]
+            d2 += d * d
+            d = z[i] - z[j]
+            d2 += d * d
+            ok = np.flatnonzero(d2 < limit if strict else d2 <= limit)
+            out.append((order[i[ok]], order[j[ok]], d2[ok]))
+            at = m
+    a, b, d2 = (np.concatenate(v) for v in zip(*out, strict=True))
+    return a, b, d2, c
+
+
+def directed_pairs(xyz: np.ndarray, tol: float, strict: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d2, k) within tol, i = j included; k numbers j's cell as seen from i's, from (-1, -1, -1) up."""
+    a, b, d2, c = half_pairs(xyz, tol, strict)
+    own = np.arange(len(xyz))
+    i, j = np.concatenate([a, b, own]), np.concatenate([b, a, own])
+    step = c[j] - c[i] + 1
+    return i, j, np.concatenate([d2, d2, np.zeros(len(own))]), (step[:, 0] * 3 + step[:, 1]) * 3 + step[:, 2]
 
 
 def capped(i, j, d2, k, max_n: int, cap: str):
-    """At most max_n neighbours of each i, as in operators.neighbors."""
-    if cap == "scan_order":
-        o = np.lexsort((j, k, i))
-    else:
-        o = np.lexsort((j, d2, j != i, i))
-    i, j = i[o], j[o]
-    if max_n and len(i):
-        first = np.concatenate([[True], i[1:] != i[:-1]])
-        start = np.flatnonzero(first)
-        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.concatenate([start, [len(i)]])))
-        i, j = i[rank < max_n], j[rank < max_n]
-    return i, j
+    """At most max_n neighbours of each i, as in operators.neighbors; sorted by i."""
+    if max_n:
+        n = np.bincount(i)
+        full = n[i] > max_n
+        # only crowded points need their neighbours ranked
+        a, b, d, c = i[full], j[full], d2[full], k[full]
+        o = np.lexsort((b, c, a)) if cap == "scan_order" else np.lexsort((b, d, b != a, a))
+        a, b = a[o], b[o]
+        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+        rank = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
+        i, j = np.concatenate([i[~full], a[rank < max_n]]), np.concatenate([j[~full], b[rank < max_n]])
+    o = np.argsort(i, kind="stable")
+    return i[o], j[o]
 
 
 def seeded_labels(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +94,12 @@ def seeded_labels(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.
     start = np.searchsorted(i, np.arange(n + 1))
     covered = np.zeros(n, dtype=bool)
     seeds = []
+    begin, end = start[:-1].tolist(), start[1:].tolist()
     for p in range(n):
         if not covered[p]:
             seeds.append(p)
             covered[p] = True
-            covered[j[start[p] : start[p + 1]]] = True
+            covered[j[begin[p] : end[p]]] = True
     s = np.array(seeds, dtype=np.int64)
     mark = np.zeros(n, dtype=bool)
     mark[s] = True
@@ -99,9 +109,10 @@ def seeded_labels(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.
 
 def cluster_cloud(xyz: np.ndarray, tol: float, method: str, max_n: int = 0, strict: bool = False) -> np.ndarray:
     """Cluster of each point, as its smallest point number. Coordinates must be finite."""
-    i, j, d2, k = directed_pairs(xyz, tol, strict)
     if method == "euclidean":
-        return components(len(xyz), i, j)
+        a, b, _, _ = half_pairs(xyz, tol, strict)
+        return components(len(xyz), a, b)
+    i, j, d2, k = directed_pairs(xyz, tol, strict)
     i, j = capped(i, j, d2, k, max_n, "scan_order" if method == "seeded_scan_order" else "nearest")
     if method == "capped_graph":
         return components(len(xyz), i, j)
