@@ -32,7 +32,7 @@ def _sorted_directly(text: bytes, t: np.ndarray, at: np.ndarray, depth: int) ->
             own = bucket.tolist()
             # latin-1 strings compare as their bytes do
             keys = [text[i + 2 : i + depth].decode("latin-1") for i in own]
-            bucket = bucket[np.array(sorted(range(len(own)), key=keys.__getitem__), dtype=np.int64)]
+            bucket = bucket[np.array(sorted(range(len(own)), key=keys.__getitem__), dtype=np.int32)]
         out.append(bucket)
     return np.concatenate(out) if out else at
 
@@ -51,21 +51,22 @@ def two_stage_order(text: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
         need[edge] = True
         edge = edge[~small[edge] & (edge + 1 < len(t))] + 1
         edge = edge[~need[edge]]
-    direct = _sorted_directly(text, t, np.flatnonzero(need & small), depth)
+    direct = _sorted_directly(text, t, np.flatnonzero(need & small).astype(np.int32), depth)
     first = t[direct]
     bounds = np.searchsorted(first, np.arange(257))
     fed: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for c in range(256):
         parts = []
-        new = np.concatenate(fed[c]) if fed[c] else np.zeros(0, dtype=np.int64)
+        new = np.concatenate(fed[c]) if fed[c] else np.zeros(0, dtype=np.int32)
         while len(new):  # equal bytes in a row: the bucket feeds itself
             parts.append(new)
             before = new[new > 0] - 1
             new = before[need[before] & ~small[before] & (t[before] == c)]
         parts.append(direct[bounds[c] : bounds[c + 1]])
         bucket = np.concatenate(parts)
-        out.append(bucket)
+        fed[c] = []
+        out.append(bucket[wanted[bucket]])
         before = bucket[bucket > 0] - 1
         before = before[need[before] & ~small[before] & (t[before] > c)]
         if len(before):
@@ -75,8 +76,7 @@ def two_stage_order(text: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
             cuts = np.flatnonzero(np.diff(head)) + 1
             for piece in np.split(before, cuts):
                 fed[t[piece[0]]].append(piece)
-    order = np.concatenate(out)
-    return order[wanted[order]]
+    return np.concatenate(out)
 
 
 def repeated(text: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
