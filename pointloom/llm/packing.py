@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.arrow import slices
-from pointloom.session import prepare, table
+from pointloom.session import cut, prepare, table
 
-#: Pieces that one packing task takes at most, on average; bounds its memory at any input size.
-SHARD_DOCS = 40_000
+#: Pieces shorter than a sequence that one packing task takes, about; bounds its memory at any input size.
+SHARD_PIECES = 65_536
 #: Runs of text whose ids a worker remembers.
 CACHE_RUNS = 500_000
 #: Fixed value: the division rule for which plain runs may be divided here.
@@ -61,6 +61,12 @@ class RunIds(dict):
     def __missing__(self, run: bytes) -> bytes:
         if len(self) >= CACHE_RUNS:
             self.clear()
+        if self.divides and (run.isalpha() or run[-1:] in (b".", b",") and run[:-1].isalpha()):
+            # ASCII letters, perhaps with a full stop or comma: most runs
+            parts = [run.lower().decode()] if run.isalpha() else [run[:-1].lower().decode(), run[-1:].decode()]
+            ids = b"".join([self.part_ids.get(p) or self.part(p) for p in parts])
+            self[run] = ids
+            return ids
         text = run.decode("utf-8", "replace")
         if self.divides and b"<|" not in run and _PLAIN.fullmatch(text):
             ids = b"".join([self.part_ids.get(p) or self.part(p) for p in _PARTS.findall(text.lower())])
@@ -141,36 +147,35 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def pack(pieces: DataFrame, shards: int, capacity: int = 2048) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """pieces with sequence_id and offset; pieces: any columns with ``length`` (1 to capacity).
 
-    Pieces are dealt round over the shards by their running number within each input partition, so no key, null or repeated row gathers in one task; each shard is packed alone. sequence_id has the shard in its high bits.
+    A piece of full length is a sequence of its own. The others are dealt round over shards of about SHARD_PIECES by their running number within each partition, so no key, null or repeated row gathers in one task and a shard's size doesn't depend on the input's; each shard is packed alone. pieces are cut in the checkpoint folder first, as their number decides how many shards there are. sequence_id has the shard in its high bits; sequences of full pieces are numbered from 2^62.
     """
-    fields = pieces.drop("_shard", "sequence_id", "offset")
+    fields = cut(pieces.drop("_shard", "sequence_id", "offset"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema.fields) + ", sequence_id long, offset long"
-    dealt = fields.withColumn("_shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
+    rest = fields.where(F.col("length") != capacity)
+    shards = -(-rest.count() // SHARD_PIECES) or 1
+    dealt = rest.withColumn("_shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         bins, offsets = place(rows.column("length").to_numpy(), capacity)
         rows = rows.drop_columns(["_shard"])
         return rows.append_column("sequence_id", pa.array(bins + key[0].as_py() * _SHARD)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("_shard").applyInArrow(run, schema)
-
-
-def shards_for(n_docs: int) -> int:
-    return max(1, -(-n_docs // SHARD_DOCS))
+    full = fields.where(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id() + F.lit(1 << 62), "offset": F.lit(0).cast("long")})
+    return dealt.groupBy("_shard").applyInArrow(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """tokenize() then pack(), with the ids kept: the training sequences themselves. An empty table gives no rows."""
-    return pack(tokenize(docs, vocabulary, capacity, end_id), shards_for(docs.count()), capacity)
+    return pack(tokenize(docs, vocabulary, capacity, end_id), capacity)
 
 
 def packed_digest(docs: DataFrame, capacity: int = 2048) -> DataFrame:
-    """pack_documents() with ids_crc32 in place of the ids, which then need no shuffle."""
+    """pack_documents() with ids_crc32 in place of the ids, which are then neither written nor shuffled."""
     pieces = tokenize(docs, capacity=capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(pieces, shards_for(docs.count()), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
