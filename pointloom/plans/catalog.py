@@ -238,6 +238,21 @@ def alignment_nn(spark, sf):
     return a.where("mode = 'ego'").select(F.col("gap").cast("long").alias("gap"), "n", *(F.round(c, 9).alias(c) for c in ("median", "p90", "p95")))
 
 
+@query(f"with recursive {FRAMES}, prs as (select a.idx as i, b.idx as j from fr a join fr b on a.frame = b.frame and a.y = b.y where {D2} <= 0.3 * 0.3), ed as (select i, j from prs union select j, i from prs), re(i, j) as (select idx, idx from fr union select re.i, ed.j from re join ed on ed.i = re.j), cl as (select i as idx, min(j) as c from re group by i), sz as (select c, count(*) as n from cl group by c) select frame, cl.idx, case when n >= 2 then cl.c end as cluster_id, case when n >= 2 then n end as cluster_size from cl join sz on sz.c = cl.c join fr on fr.idx = cl.idx")
+def daily_clusters(spark, sf):
+    return cluster.euclidean(frames(spark, sf), 0.3, 2, ("frame",))
+
+
+@query(ORACLES["daily_clusters"])
+def daily_clusters_distributed(spark, sf):
+    return cluster.euclidean(frames(spark, sf), 0.3, 2, ("frame",), "distributed")
+
+
+@query()
+def daily_seeded_clusters(spark, sf):
+    return cluster.seeded(frames(spark, sf), 0.3, 2, 8, ("frame",))
+
+
 PACKED = "pk as (select vec_id as idx, cast(label as bigint) * 65536 + vec_id % 30 as packed from embeddings)"
 
 
