@@ -25,8 +25,8 @@ THRESHOLD = 4, 5
 BANDS, ROWS = 32, 6
 #: MinHash values that are compared before each pruning, and the posterior probability below which a pair is dropped.
 STEPS, TOLERANCE = (32, 64, 128, 192), 1e-7
-#: Classes and shingles of one tile side, about; larger groups are dealt over several tiles.
-TILE_ROWS, TILE_SHINGLES = 1024, 1_000_000
+#: Classes and shingles of one tile side, about; larger groups are dealt over several tiles, smaller ones share lanes.
+TILE_ROWS, TILE_SHINGLES, LANE_SHINGLES = 1024, 1_000_000, 200_000
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -209,7 +209,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     content = cut(content.withColumn("n", (F.length("shingles") / 8).cast("long")))
     sizes = content.groupBy("comp").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_all"))
     blocks = sizes.select("comp", F.ceil(F.greatest(F.col("n_rows") / TILE_ROWS, F.col("n_all") / TILE_SHINGLES)).cast("int").alias("blocks"))
-    lanes = max(1, int((content.agg(F.sum("n")).first()[0] or 0) // TILE_SHINGLES))
+    lanes = max(1, int((content.agg(F.sum("n")).first()[0] or 0) // LANE_SHINGLES))
     tiles = content.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("comp", "block", "key", "weight", "minima", "shingles", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(lanes))).otherwise(F.xxhash64("comp")).alias("lane"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -232,3 +232,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its class; rows with a null doc_id stay."""
     dropped = similar_documents(docs).where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+ORACLE = """
+with recursive d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+s as (select distinct r, list_aggregate(w[i : i + least(5, len(w)) - 1], 'string_agg', ' ') as g from d, unnest(range(1, cast(greatest(len(w) - 3, 2) as bigint))) as t(i) where len(w) > 0),
+n as (select r, count(*) as n from s group by r),
+l as (select a.r as x, b.r as y from s a join s b on a.g = b.g and a.r <> b.r join n on n.r = a.r join n m on m.r = b.r where least(n.n, m.n) * 5 >= greatest(n.n, m.n) * 4 group by a.r, b.r, n.n, m.n having count(*) * 9 >= 4 * (n.n + m.n)),
+c(r, t) as (select r, r from d union select c.r, l.y from c join l on c.t = l.x),
+k as (select c.r, min(d.doc_id) as class_id from c join d on d.r = c.t group by c.r),
+e as (select x, count(*) as n_links from l group by x)
+select d.doc_id, class_id, coalesce(n_links, 0) as n_links from d join k on k.r = d.r left join e on e.x = d.r
+"""
