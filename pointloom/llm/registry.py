@@ -20,7 +20,9 @@ QUERIES = {
 }
 ORACLES = {
     "op3_winnowing_decontamination": decontaminate.ORACLE,
+    "op5_suffix_dedup": substrings.ORACLE,
     "op6_chat_snapshots": chat.ORACLE,
     "op7_url_rules": urls.ORACLE,
     "op8_subspace_pigeonhole": vectors.ORACLE,
+    "op10_bayesian_jaccard": jaccard.ORACLE,
 }

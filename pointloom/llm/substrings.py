@@ -282,3 +282,16 @@ def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return removal_digest(table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, p, hash(substr(h, 2 * p + 1, 800)) as b from d, unnest(range(0, cast(greatest(length(h) // 2 - 399, 0) as bigint))) as t(p)),
+s as (select r, p from (select r, p, count(*) over (partition by b) as n from w) where n > 1),
+g as (select r, p, case when p - lag(p) over (partition by r order by p) <= 400 then 0 else 1 end as fresh from s),
+i as (select r, p, sum(fresh) over (partition by r order by p) as k from g),
+sp as (select r, k, min(p) as a, max(p) + 400 as z from i group by r, k),
+gap as (select r, k, a, coalesce(lag(z) over (partition by r order by a), 0) as before, z, lead(a) over (partition by r order by a) is null as last from sp),
+kept as (select d.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || case when last then substr(h, 2 * z + 1) else '' end, '' order by a) as kh, sum(z - a) as n, count(*) as c from d join gap on gap.r = d.r group by d.r)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(c, 0) as n_spans, sha256(unhex(coalesce(kh, h))) as kept_sha256 from d left join kept on kept.r = d.r
+"""
