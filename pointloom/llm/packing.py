@@ -75,6 +75,10 @@ class RunIds(dict):
         self[run] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.part_ids.clear()
+
     def part(self, p: str) -> bytes:
         if len(self.part_ids) >= CACHE_RUNS:
             self.part_ids.clear()
@@ -103,7 +107,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = 204
     end = np.asarray([end_id], dtype="<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(rows.column("doc_id").to_pylist(), _ids(texts, path), strict=True):
@@ -114,6 +118,12 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = 204
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pieces(batches)
+        finally:  # workers live on; what a task remembered does not
+            run_ids(path).forget()
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
