@@ -457,5 +457,4 @@ def region_growing(spark, sf):
 @query()
 def cloth_ground_points(spark, sf):
     prepare(spark)
-    p = frames(spark, sf).where("frame < 5")
-    return cloth_ground(p, ("frame",), resolution=2.0).select("frame", "idx", "ground")
+    return cloth_ground(frames(spark, sf), ("frame",), resolution=2.0).select("frame", "idx", "ground")

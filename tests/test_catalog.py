@@ -4,6 +4,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from pointloom.operators import kernels
 from pointloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,12 @@ def test_query_against_its_oracle(spark, duck, name):
     order = sorted(range(len(names)), key=names.__getitem__)
     key = lambda r: tuple(map(str, r))
     assert sorted(rows, key=key) == sorted((tuple(plain(r[k]) for k in order) for r in want.fetchall()), key=key)
+
+
+def test_cloth_takes_every_frame(spark):
+    points = catalog.frames(spark, SF).toPandas()
+    assert points.frame.nunique() > 5
+    want = {}
+    for _, p in points.groupby("frame"):
+        want |= zip(zip(p.frame, p.idx), kernels.cloth(p[["x", "y", "z"]].to_numpy("float64"), 2.0).tolist())
+    assert {(r.frame, r.idx): r.ground for r in catalog.QUERIES["cloth_ground_points"](spark, SF).collect()} == want
