@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Tokens whose moves are summed at once; bounds the E-step's temporaries.
+CHUNK = 100_000
+
 
 @dataclass
 class Chain:
@@ -49,11 +52,12 @@ def log10_likelihood(chain: Chain, seq: np.ndarray, lengths: np.ndarray) -> np.n
 
 @dataclass
 class Counts:
-    """Expected starts, moves and emissions; add() is the E-step over a block of texts."""
+    """Expected starts, moves and emissions, and the log10 likelihood of the texts; add() is the E-step over a block of texts."""
 
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    log10: float = 0.0
 
     @classmethod
     def zero(cls, states: int, classes: int) -> Counts:
@@ -63,27 +67,36 @@ class Counts:
         if not len(seq):
             return
         obs, active, begin, _ = _by_time(seq, lengths)
-        emit, move = chain.emit.astype(np.float32), chain.move.astype(np.float32)
+        move = chain.move.astype(np.float32)
         back = np.ascontiguousarray(move.T)
-        alpha = np.empty((len(obs), len(chain.start)), dtype=np.float32)
+        e = chain.emit.astype(np.float32)[obs]
+        alpha = np.empty_like(e)
         scale = np.empty((len(obs), 1), dtype=np.float32)
-        steps = active.tolist()
+        steps, begins = active.tolist(), begin.tolist()
         for t, n in enumerate(steps):
-            at, e = begin[t], emit[obs[begin[t] : begin[t] + n]]
-            a = e * chain.start.astype(np.float32) if not t else (alpha[begin[t - 1] : begin[t - 1] + n] @ move) * e
-            c = a.sum(axis=1, keepdims=True)
+            at = begins[t]
+            a, c = alpha[at : at + n], scale[at : at + n]
+            if t:
+                np.matmul(alpha[begins[t - 1] : begins[t - 1] + n], move, out=a)
+                a *= e[at : at + n]
+            else:
+                np.multiply(e[:n], chain.start.astype(np.float32), out=a)
+            np.add.reduce(a, axis=1, keepdims=True, out=c)
             a /= c
-            alpha[at : at + n], scale[at : at + n] = a, c
-        moves = np.zeros(self.move.shape)
-        beta = np.ones((steps[-1], len(chain.start)), dtype=np.float32)
+        self.log10 += float(np.log10(scale).sum(dtype=np.float64))
+        # e becomes emission times backward value over scale
+        e /= scale
         for t in range(len(steps) - 1, 0, -1):
-            at, n, before = begin[t], steps[t], begin[t - 1]
-            w = emit[obs[at : at + n]] * beta / scale[at : at + n]
-            moves += alpha[before : before + n].T @ w
-            alpha[at : at + n] *= beta
-            beta = np.ones((steps[t - 1], len(chain.start)), dtype=np.float32)
-            np.matmul(w, back, out=beta[:n])
-        alpha[: steps[0]] *= beta
+            at, n, before = begins[t], steps[t], begins[t - 1]
+            e[before : before + n] *= e[at : at + n] @ back
+        moves = np.zeros(self.move.shape)
+        lag = np.repeat(active[:-1], active[1:])  # from a token to the one before it in its text
+        for i in range(0, len(lag), CHUNK):
+            now = np.arange(steps[0] + i, steps[0] + min(i + CHUNK, len(lag)))
+            w, before = e[now[0] : now[-1] + 1], now - lag[i : i + CHUNK]
+            a = alpha[before]
+            moves += a.T @ w
+            alpha[before] = a * (w @ back)
         self.start += alpha[: steps[0]].sum(axis=0)
         self.move += moves * chain.move
         for s in range(alpha.shape[1]):

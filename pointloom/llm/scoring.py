@@ -19,8 +19,8 @@ from pointloom.session import cut, prepare, table
 #: Words with a class of their own (the most frequent that occur twice); all others share TAILS classes by their last
 #: three bytes. Both bound the model, so that it can be broadcast; they drop no count.
 HEAD, TAILS = 65_278, 256
-#: Latent states, Baum-Welch rounds over all training texts, and rounds and texts of the start that breaks the symmetry.
-STATES, ROUNDS, START_ROUNDS, START_TEXTS = 8, 2, 12, 2_000
+#: Latent states, Baum-Welch rounds over all training texts at most, and the relative gain in likelihood below which they end.
+STATES, ROUNDS, GAIN = 8, 14, 1e-4
 #: Taken off each count within a tail class, in favour of unknown words.
 DISCOUNT = 0.75
 #: Tokens that one forward or Baum-Welch block takes, about.
@@ -103,7 +103,7 @@ class LanguageModel:
 def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> LanguageModel:
     """Counts all tokens of docs (text; null: empty) and fits the chain on all its texts.
 
-    Each Baum-Welch round sums the expected counts of every partition's texts and re-estimates on the driver, which holds only the bounded model. The first chain comes from START_TEXTS texts (those of least hash) and gives the states something to tell apart; its counts don't enter the model.
+    Each Baum-Welch round sums the expected counts of every partition's texts and re-estimates on the driver, which holds only the bounded model. The first chain is disturbed at random, which gives the states something to tell apart; no text has a part in it.
     """
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = cut(texts.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"))
@@ -134,23 +134,18 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Langua
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(seqs).tobytes()], pa.binary()), pa.array([np.array([len(s) for s in seqs], dtype="<i8").tobytes()], pa.binary())], ["seq", "lengths"])
 
     chain = first_chain(share, states)
-    # about twice as many as needed reach the sort, whatever the number of texts
-    thin = max(1, (ends[0] if ends else 0) // (2 * START_TEXTS))
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(thin)) == 0).orderBy(F.xxhash64("text")).limit(START_TEXTS).mapInArrow(encode, "seq binary, lengths binary").toArrow()
-    for _ in range(START_ROUNDS):
-        c = Counts.zero(states, classes.size)
-        for seq, lengths in _blocks(some.to_batches()):
-            c.add(chain, seq, lengths)
-        if c.start.sum():
-            chain = c.chain(share)
     coded = cut(texts.mapInArrow(encode, "seq binary, lengths binary"))
+    last = -np.inf
     for _ in range(rounds):
-        chain = _round(coded, chain, share)
+        chain, reached = _round(coded, chain, share)
+        if reached - last <= GAIN * abs(reached):
+            break
+        last = reached
     return LanguageModel(counts, int(total or 0), int(distinct), classes, chain)
 
 
-def _round(coded: DataFrame, chain: Chain, share: np.ndarray) -> Chain:
-    """One Baum-Welch round over all partitions."""
+def _round(coded: DataFrame, chain: Chain, share: np.ndarray) -> tuple[Chain, float]:
+    """One Baum-Welch round over all partitions, and the log10 likelihood by the chain that it began with."""
     states, size = len(chain.start), len(share)
     held = coded.sparkSession.sparkContext.broadcast(chain)
 
@@ -158,14 +153,14 @@ def _round(coded: DataFrame, chain: Chain, share: np.ndarray) -> Chain:
         c = Counts.zero(states, size)
         for seq, lengths in _blocks(batches):
             c.add(held.value, seq, lengths)
-        rows = np.concatenate([c.emit, c.move, c.start[None]])
+        rows = np.concatenate([c.emit, c.move, c.start[None], np.eye(1, states) * c.log10])
         some = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(rows[some, s]) for s in range(states))], ["row", *(f"s{s}" for s in range(states))])
 
     sums = coded.mapInArrow(expect, "row long, " + ", ".join(f"s{s} double" for s in range(states))).groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toArrow()
-    rows = np.zeros((size + states + 1, states))
+    rows = np.zeros((size + states + 2, states))
     rows[sums.column("row").to_numpy()] = np.stack([sums.column(f"s{s}").to_numpy() for s in range(states)], axis=1)
-    return Counts(rows[-1], rows[size : size + states], rows[:size]).chain(share) if rows.any() else chain
+    return (Counts(rows[-2], rows[size : size + states], rows[:size]).chain(share) if rows.any() else chain), float(rows[-1, 0])
 
 
 def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -82,6 +82,25 @@ def test_scores_against_plain_counts(spark, docs_of, odd_rows, monkeypatch):
     assert all(math.isfinite(g[4]) and g[4] <= 0 for g in got)
 
 
+def test_every_round_takes_all_texts(docs_of, monkeypatch):
+    monkeypatch.setattr(scoring, "HEAD", 50)
+    texts = [t for _, t, _ in corpus(80)] + ["a text that fills any sample"] * 2_100
+    model = scoring.train(docs_of(list(enumerate(texts))))
+    seqs = [np.array([*model.classes.of(scoring.tokens(t.encode())), 0]) for t in texts]
+    share, last = model.classes.share(), -math.inf
+    chain = hmm.first_chain(share, scoring.STATES)
+    for _ in range(scoring.ROUNDS):
+        c = hmm.Counts.zero(scoring.STATES, model.classes.size)
+        c.add(chain, np.concatenate(seqs), np.array([len(s) for s in seqs]))
+        assert c.log10 == pytest.approx(hmm.log10_likelihood(chain, np.concatenate(seqs), np.array([len(s) for s in seqs])).sum(), rel=1e-4)
+        chain = c.chain(share)
+        if c.log10 - last <= scoring.GAIN * abs(c.log10):
+            break
+        last = c.log10
+    assert model.chain.move == pytest.approx(chain.move, rel=0.01, abs=1e-4)
+    assert model.chain.emit == pytest.approx(chain.emit, rel=0.01, abs=1e-4)
+
+
 def test_the_outcomes_of_a_tail_class_add_up_to_one():
     c, d = np.array([1, 1, 2, 5]), scoring.DISCOUNT
     assert ((c - d) / c.sum()).sum() + d * len(c) / c.sum() == pytest.approx(1)
