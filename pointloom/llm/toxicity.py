@@ -54,7 +54,7 @@ class Lexicon:
         hidden = [self.z[w] for w in plain if w in self.z]
         scores = sorted([s for _, s in hits] + hidden, reverse=True)
         persons = [i for i, w in enumerate(words) if w in SECOND_PERSON] if hits else []
-        near = min((abs(i - j) for i, s in hits if s >= TIERS[1] for j in persons), default=1000) if len(hits) * len(persons) < 100_000 else 1
+        near = _least_distance([i for i, s in hits if s >= TIERS[1]], persons)
         raw = text.split()
         shouted = sum(w.isupper() and len(w) > 1 for w in raw)
         capitals = sum(map(text.count, _CAPITALS))
@@ -63,6 +63,15 @@ class Lexicon:
         return [*(100 * c / n for c in counts), *map(float, counts), scores[0] if scores else 0.0, sum(scores[:3]), 1 / (1 + near), 100 * len(hidden) / n, capitals / size, shouted / max(1, len(raw)), sum(marks) / size, marks[0] / size, 100 * len(plain) / n, 100 * len(_STRETCHED.findall(text)) / n, 1 - len(set(words)) / n]
 
 
+def _least_distance(a: list[int], b: list[int]) -> int:
+    """Between a place of a and one of b, both ascending; 1000 if there is none."""
+    if not a or not b:
+        return 1000
+    x, y = np.array(a), np.array(b)
+    k = np.searchsorted(y, x)
+    return int(min(np.abs(x - y[np.maximum(k - 1, 0)]).min(), np.abs(x - y[np.minimum(k, len(y) - 1)]).min()))
+
+
 _CAPITALS = [bytes([c]) for c in range(65, 91)]
 
 

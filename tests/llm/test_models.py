@@ -163,3 +163,15 @@ def test_quality_of_held_out_rows(spark, docs_of, odd_rows):
     assert len(odd) == len(odd_rows) and all(r.perplexity is None and not r.keep for r in odd if r.doc_id in (1, 2))
     assert quality.classify(docs_of([]), labels).count() == 0
     assert all(r.keep for r in quality.classify(docs_of(good), labels.where("false")).collect())
+
+
+def test_distance_to_second_person_at_every_length():
+    lexicon = toxicity.Lexicon({b"weak": 4.5, b"strong": 9.0})
+    proximity = lambda words: lexicon.features(" ".join(words).encode())[8]
+    assert proximity(["weak", "you"] * 400) == 1 / 1001
+    assert proximity(["strong"] * 400 + ["x"] * 50 + ["you"] * 400) == 1 / 52
+    random.seed(15)
+    for n in (5, 40, 3000):
+        words = [random.choice(["weak", "strong", "you", *["x"] * 20]) for _ in range(n)]
+        at = lambda w, words=words: [i for i, x in enumerate(words) if x == w]
+        assert proximity(words) == 1 / (1 + min((abs(i - j) for i in at("strong") for j in at("you")), default=1000))
