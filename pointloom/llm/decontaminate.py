@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.arrow import slices
 from pointloom.llm.bitfilter import BitFilter
-from pointloom.session import prepare, table
+from pointloom.session import ROW, numbered, prepare, table
 
 #: Words of a window, and of the k-grams that are winnowed. A window holds WINDOW - GRAM + 1 k-grams; both sides keep
 #: the least of these, so every shared window has a fingerprint in common.
@@ -107,6 +107,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     spans: sorted (start, end) word ranges of the windows that occur in an item; n_hit: the words in their union; items: sorted ids (as strings) of the items with such a window. An item's windows are its runs of ``window`` words, or all of its words if it has fewer. Null texts have no words; items with a null id or without words match nothing; repeated rows count each for themselves; extra columns are ignored.
     Documents' winnowed fingerprints are tested against a filter of fixed maximal size over the benchmark's; each that passes is extended to the windows around it, which are then joined to the items' windows word for word.
     """
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _found(texts, benchmark, window, gram).drop("rid")
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """contamination() of (rid, doc_id, text), with rid."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     fingerprints, item_windows = _item_rows(window, gram)
     found = bench.select("text").mapInArrow(fingerprints, "g long, n int")
@@ -142,13 +148,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
                         add(rid, None, None, b" ".join(w[s : s + n]), s, s + n)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cand = texts.mapInArrow(candidates, "rid long, doc_id long, n_words long, key binary, start int, end int")
     keys = bench.mapInArrow(item_windows, "key binary, item string").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     hits = cand.join(keys, "key", "left").where("start is null or items is not null")
     one = hits.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     union = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["e"]))).alias("n"), F.greatest(s["end"], a["e"]).alias("e")), lambda a: a["n"].cast("long"))
-    return one.select("doc_id", "n_words", "spans", union.alias("n_hit"), "items")
+    return one.select("rid", "doc_id", "n_words", "spans", union.alias("n_hit"), "items")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +163,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a shared window. Rows are matched by doc_id; rows with a null doc_id stay."""
-    bad = contamination(docs, benchmark).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs without a shared window, each by its own text, whatever its doc_id."""
+    rows = numbered(docs)
+    texts = rows.select(F.col(ROW).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bad = _found(texts, benchmark).where("n_hit > 0").select(F.col("rid").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
 
 
 ORACLE = """

@@ -16,7 +16,7 @@ from pointloom.graph import connected_components
 from pointloom.llm.arrow import slices
 from pointloom.llm.bitfilter import BitFilter
 from pointloom.llm.decontaminate import WordHashes, gram_hashes, hash_words, words_of
-from pointloom.session import cut, prepare, table
+from pointloom.session import ROW, cut, numbered, prepare, table
 
 SHINGLE = 5
 #: Similarity from which documents are linked, as a fraction.
@@ -69,7 +69,7 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, k, bands): key names the shingle set, k is its first half; null without words."""
+    """(row, doc_id, key, k, bands): key names the shingle set, k is its first half; null without words."""
     known = WordHashes()
     for rows, texts in slices(batches):
         sets = [shingle_set(t, known) for t in texts]
@@ -77,7 +77,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = iter(band_hashes(min_hashes([s for s in sets if len(s)])).view(np.int64).tolist())
         bands = [next(g) if len(s) else None for s in sets]
         half = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(keys, pa.binary()), pa.array(half, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "k", "bands"])
+        yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(keys, pa.binary()), pa.array(half, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "doc_id", "key", "k", "bands"])
 
 
 def _content(wanted: BitFilter):
@@ -195,8 +195,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Two rows are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8; n_links counts the other linked rows, class_id is the smallest doc_id reachable by links. Words as in decontamination; a text of 1 to 4 words is one shingle; a null text or one without words links with nothing, not even with its like, and is its own class. Repeated rows are rows of their own; a null doc_id is never the smallest unless all are null. Extra columns are ignored.
     Rows with equal sets become one weighted class first. Classes that share a MinHash band join a candidate group (connected components over bands); only these send their shingles on. Groups are compared within tiles of bounded size, a larger group in several, so no group meets in one task and no pair becomes a row.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(base.mapInArrow(_sketch, "doc_id long, key binary, k long, bands array<long>"))
+    base = docs.select(F.lit(None).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketches, weights, found, groups = _groups(base)
+    links = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
+    least = groups.join(weights, "key").groupBy("component").agg(F.min("rep").alias("least"))
+    classes = weights.join(links, "key", "left").join(groups.join(least, "component").select("key", "least"), "key", "left")
+    classes = classes.select("key", F.coalesce("least", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    out = sketches.select("doc_id", "key").join(classes, "key", "left")
+    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _groups(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of (row, doc_id, text): the sketches, the weights of their keys, what the tiles found, and (key, component) of linked keys."""
+    sketches = cut(base.mapInArrow(_sketch, "row long, doc_id long, key binary, k long, bands array<long>"))
     known = sketches.where("key is not null")
     bands = known.select("key", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
@@ -214,13 +225,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("comp", "block", "key", "weight", "minima", "shingles", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(lanes))).otherwise(F.xxhash64("comp")).alias("lane"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = cut(tiles.groupBy("lane", "i", "j").applyInArrow(_tile, "key binary, other binary, links long"))
-    links = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("other is not null"), "key", "other").withColumnRenamed("node", "key")
-    least = groups.join(weights, "key").groupBy("component").agg(F.min("rep").alias("least"))
-    classes = weights.join(links, "key", "left").join(groups.join(least, "component").select("key", "least"), "key", "left")
-    classes = classes.select("key", F.coalesce("least", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    out = sketches.select("doc_id", "key").join(classes, "key", "left")
-    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return sketches, weights, found, groups
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,9 +235,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class; rows with a null doc_id stay."""
-    dropped = similar_documents(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of similar_documents() one row with the smallest doc_id, and one of the rows with a null doc_id, if it has such; rows without words stay."""
+    rows = numbered(docs)
+    sketches, _, _, groups = _groups(rows.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("named")
+    firsts = sketches.where("key is not null").groupBy("key").agg(named, F.min(F.when(F.col("doc_id").isNull(), F.col("row"))).alias("unnamed"))
+    firsts = firsts.join(groups, "key", "left").groupBy(F.coalesce("component", "key").alias("class")).agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
+    kept = firsts.select(F.explode(F.array("named.row", "unnamed")).alias(ROW)).where(F.col(ROW).isNotNull()).unionByName(sketches.where("key is null").select(F.col("row").alias(ROW)))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 ORACLE = """

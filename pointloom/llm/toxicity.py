@@ -148,6 +148,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score below the threshold. Rows are matched by doc_id; rows with a null doc_id stay."""
-    bad = scores(docs, train(docs, labels)).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that score below the threshold, each by its own text, whatever its doc_id."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches):
+            yield rows.filter(pa.array(held.value.score(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch that a Python stage receives; bounds a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -15,6 +16,9 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Rows of one checkpoint file, about, where their number is known.
 FILE_ROWS = 100_000
 
+#: Column of row numbers, beside a table's own columns.
+ROW = "__row"
+
 _shipped: set[str] = set()
 
 
@@ -39,6 +43,11 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df, materialised with a number for each row in the column ROW, so that a decision on a row can be joined back whatever its id."""
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Make this package importable on the executors and bound the Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import __spark_entry__ as entry
+from pointloom.llm import decontaminate, jaccard, toxicity
 
 
 def make(spark, folder):
@@ -47,3 +48,21 @@ def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_decisions_are_taken_row_by_row(spark, docs_of):
+    random.seed(16)
+    text = lambda n: " ".join(f"{random.choice('bcdfgh')}{random.choice('aeiou')}{random.randrange(3000)}" for _ in range(n))
+    a, b, c = text(120), text(120), text(120)
+    kept = lambda d: sorted((str(r.doc_id), r.text) for r in d.collect())
+    # repeated rows, another text of the same id, copies without an id
+    got = jaccard.keep_one(docs_of([(1, a), (1, a), (1, b), (2, a + " tail"), (None, c), (None, c), (5, None), (5, None)]))
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, a), (1, b), (0, c), (5, ""), (5, "")])
+    item = text(15)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert kept(decontaminate.drop_contaminated(docs_of([(None, a + " " + item), (None, b), (4, c), (4, c + " " + item)]), bench)) == sorted([("None", b), ("4", c)])
+    bad = [(i, text(30) + (" you idiot scum moron" if i % 3 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in bad], "doc_id long, toxic int")
+    rows = [(None, text(30) + " you idiot scum moron"), (None, a), (900, b), (900, text(30) + " you idiot scum moron")]
+    got = {t for _, t in kept(toxicity.drop_toxic(docs_of(bad + rows), labels))}
+    assert {a, b} <= got and not any("scum" in t for t in got)
