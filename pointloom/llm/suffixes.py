@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Parts are followed by GAP: 0xFF stands in no UTF-8 text, and 0x00 before a part or END is smaller than its successor.
 GAP, END = b"\xff\x00", b"\xff\x00\x01"
+#: Bytes of the longest strings that are compared in suffix order.
+DEPTH = 4096
 
 
 def smaller_than_next(t: np.ndarray) -> np.ndarray:
@@ -79,14 +82,24 @@ def two_stage_order(text: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def repeated(text: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
-    """Mask of the wanted positions whose ``depth`` bytes stand at another wanted position too, by the common prefixes of neighbours in suffix order."""
-    order = two_stage_order(text, wanted, depth)
+def repeated(text: bytes, size: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Mask of the positions whose string (size bytes there, 0: none is looked for) stands at another such position too, by the common prefixes of neighbours in suffix order.
+
+    Equal strings are neighbours if they all have the same length, or if each is followed by a byte that is smaller than any within it can be at its place. Strings of more than ``depth`` bytes are compared by 128-bit hashes among themselves, so that no key of the sort is longer than that.
+    """
     hit = np.zeros(len(text), dtype=bool)
+    order = two_stage_order(text, (size > 0) & (size <= depth), min(depth, int(size.max(initial=0))) + 1)
     for k in range(0, len(order) - 1, 100_000):
         part = order[k : k + 100_001]
-        at = part.tolist()
-        same = np.array([text[a : a + depth] == text[b : b + depth] for a, b in zip(at, at[1:])], dtype=bool)  # noqa: B905
+        at, n = part.tolist(), size[part]
+        same = n[1:] == n[:-1]
+        same[same] = [text[at[i] : at[i] + m] == text[at[i + 1] : at[i + 1] + m] for i, m in zip(np.flatnonzero(same).tolist(), n[1:][same].tolist(), strict=True)]
         hit[part[:-1][same]] = True
         hit[part[1:][same]] = True
+    long: dict[bytes, list[int]] = {}
+    for p in np.flatnonzero(size > depth).tolist():
+        long.setdefault(xxhash.xxh3_128_digest(text[p : p + int(size[p])]), []).append(p)
+    for places in long.values():
+        if len(places) > 1:
+            hit[places] = True
     return hit
