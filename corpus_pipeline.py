@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointloom.llm.decontaminate import drop_contaminated
 from pointloom.llm.jaccard import keep_one
 from pointloom.llm.packing import packed_digest
-from pointloom.llm.substrings import remove_repeats
+from pointloom.llm.substrings import PASSAGES, remove_repeats
 from pointloom.llm.toxicity import drop_toxic
 from pointloom.session import cut, prepare, table
 
@@ -25,9 +25,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes byte strings of 400 bytes that stand more than once; documents stay, if empty."""
+    """Removes passages of 50 words (PASSAGES) that stand more than once; documents stay, if empty."""
     prepare(spark)
-    return remove_repeats(docs)
+    return remove_repeats(docs, strings=PASSAGES)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
