@@ -8,57 +8,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.arrow import slices
 from pointloom.llm.bitfilter import BitFilter
-from pointloom.session import prepare, table
-
-#: Symbols of the reduced alphabet and the order: SYMBOLS ** ORDER table cells bound the model at any corpus size.
-BITS, ORDER = 6, 4
-SYMBOLS = 1 << BITS
+from pointloom.session import cut, prepare, table
+
+#: Bytes of an n-gram; a gram is the number that its bytes spell, so it is its own key. At most 7.
+ORDER = 5
+#: Levels whose tables are held whole: 256 ** DENSE cells whatever the corpus.
+DENSE = 2
+#: Bytes of text that ask for their grams' probabilities together, about.
+BLOCK_BYTES = 32 << 20
 #: Share of trusted text of a language that passes.
 QUANTILE = 0.98
-
-
-def _alphabet() -> bytes:
-    """Byte -> symbol: small letters, pairs of capitals, digits, blank, line end, frequent signs, other signs, and UTF-8 bytes by their last three bits."""
-    signs = b".,!?;:'\"-|%&"
-    out = []
-    for b in range(256):
-        c = chr(b)
-        if "a" <= c <= "z":
-            s = b - 97
-        elif "A" <= c <= "Z":
-            s = 26 + (b - 65) // 2
-        elif b >= 128:
-            s = 39 + (b & 7)
-        elif c.isdigit():
-            s = 47
-        elif c in " \t":
-            s = 48
-        elif c in "\r\n":
-            s = 49
-        elif b in signs:
-            s = 50 + signs.index(b)
-        else:
-            s = 62 + (b & 1)
-        out.append(s)
-    return bytes(out)
-
-
-ALPHABET, START = _alphabet(), 49
+_START = 10
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(ORDER-grams as numbers, lengths): one gram for each byte, the first ones preceded by line ends."""
-    pad = bytes([START]) * (ORDER - 1)
+    pad = bytes([_START]) * (ORDER - 1)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    s = np.frombuffer(b"".join(pad + t.translate(ALPHABET) for t in texts), np.uint8).astype(np.int32)
-    g = np.zeros(max(0, len(s) - ORDER + 1), dtype=np.int32)
+    s = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.int64)
+    g = np.zeros(max(0, len(s) - ORDER + 1), dtype=np.int64)
     for k in range(ORDER):
-        g = (g << BITS) | s[k : k + len(g)]
+        g = (g << 8) | s[k : k + len(g)]
     # the last ORDER - 1 starts of a text reach into the next one
     keep = np.ones(len(g), dtype=bool)
     ends = np.cumsum(lengths + ORDER - 1)[:-1]
@@ -68,75 +44,158 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in slices(batches):
-        g, n = np.unique(_grams(texts)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(n, pa.int64())], ["gram", "c"])
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts of 1, 2 and more, from the counts of counts; 0.5, 1 and 1.5 where those aren't defined."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
+    for block in _blocks(batches):
+        found = [np.unique(_grams(texts)[0], return_counts=True) for _, texts in block]
+        g, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([c for _, c in found]), len(g)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["gram", "c"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.RecordBatch, list[bytes]]]]:
+    """Slices of rows in lists of about BLOCK_BYTES of text."""
+    block, size = [], 0
+    for rows, texts in slices(batches):
+        block.append((rows, texts))
+        size += sum(map(len, texts))
+        if size >= BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """What is taken off counts of 1, 2 and more, from the numbers of grams that occur so often; 0.5, 1 and 1.5 where those aren't defined."""
     if min(n1, n2, n3, n4) == 0:
-        return np.array([0.0, 0.5, 1.0, 1.5])
+        return 0.5, 1.0, 1.5
     y = n1 / (n1 + 2 * n2)
     d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return np.array([0.0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))])
-
+    return tuple(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))
 
-def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log2 probability of each ORDER-gram's last symbol after the others, as a dense table.
 
-    Lower orders use continuation counts; each order has three discounts of its own and is interpolated with the next lower one, the lowest with the uniform distribution. The table is filled some contexts at a time.
-    """
-    order = np.argsort(grams, kind="stable")
-    levels = [(np.asarray(grams, np.int64)[order], np.asarray(counts, np.float64)[order])]
-    for n in range(ORDER - 1, 0, -1):
-        levels.append(tuple(np.unique(levels[-1][0] % SYMBOLS**n, return_counts=True)))
-    low = np.full(SYMBOLS, 1 / SYMBOLS)
-    for n, (g, c) in enumerate(reversed(levels), start=1):
-        d, step = _discounts(c), min(SYMBOLS**n, 1 << 20)
-        p = np.empty(SYMBOLS**n, dtype=np.float32 if n == ORDER else np.float64)
-        for at in range(0, len(p), step):
-            a, z = np.searchsorted(g, (at, at + step))
-            own = np.zeros(step)
-            own[g[a:z] - at] = c[a:z]
-            rows = own.reshape(-1, SYMBOLS)
-            off = d[np.minimum(rows, 3).astype(np.int64)]
-            total = rows.sum(axis=1, keepdims=True)
-            back = low[np.arange(at, at + step) % len(low)].reshape(-1, SYMBOLS)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mixed = np.where(total > 0, (rows - off + off.sum(axis=1, keepdims=True) * back) / total, back).ravel()
-            p[at : at + step] = np.log2(mixed) if n == ORDER else mixed
-        low = p
-    return low
+def dense(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Probabilities of all grams of one level, from their counts and those of the level below."""
+    d = np.array([0.0, *discounts(*(float((counts == k).sum()) for k in (1, 2, 3, 4)))])
+    rows = counts.reshape(-1, 256).astype(float)
+    off = d[np.minimum(rows, 3).astype(np.int64)]
+    total = rows.sum(axis=1, keepdims=True)
+    back = below[np.arange(len(counts)) % len(below)].reshape(-1, 256)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(total > 0, (rows - off + off.sum(axis=1, keepdims=True) * back) / total, back).ravel()
 
 
 @dataclass
 class QualityModel:
-    log2: np.ndarray
+    levels: dict[int, DataFrame]  # level -> (gram, c) with DENSE < level <= ORDER
+    off: dict[int, tuple[float, float, float]]  # level -> discounts
+    low: np.ndarray  # probabilities of all grams of level DENSE
+
+
+def _suffix(n: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
 
 
 def train(texts: DataFrame) -> QualityModel:
-    """texts: one string column of trusted text, all of which is counted: per task, then summed by gram over the shards."""
+    """texts: one string column of trusted text, all of which is counted: per block, then summed by gram over the shards.
+
+    Below ORDER a gram's count is the number of bytes before which it is known. Each level has three discounts of its own.
+    """
     rows = texts.select(F.col(texts.columns[0]).cast("string").alias("text")).where("text is not null")
-    got = rows.mapInArrow(_count, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c")).toArrow()  # at most SYMBOLS ** ORDER rows
-    return QualityModel(kneser_ney(got.column("gram").to_numpy(), got.column("c").to_numpy()))
+    levels = {ORDER: cut(rows.mapInArrow(_count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")))}
+    for n in range(ORDER - 1, DENSE - 1, -1):
+        levels[n] = levels[n + 1].groupBy(_suffix(n).alias("gram")).agg(F.count("*").alias("c"))
+        levels[n] = cut(levels[n]) if n > DENSE else levels[n]
+    got = levels.pop(DENSE).toArrow()  # at most 256 ** DENSE rows
+    counts = np.zeros(256**DENSE)
+    counts[got.column("gram").to_numpy()] = got.column("c").to_numpy()
+    below = [counts]
+    for n in range(DENSE - 1, 0, -1):
+        below.append((below[-1] > 0).reshape(-1, 256**n).sum(axis=0))
+    low = np.full(1, 1 / 256)
+    for c in reversed(below):
+        low = dense(c, low)
+    off = {n: discounts(*df.agg(*(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first()) for n, df in levels.items()}
+    return QualityModel(levels, off, low)
+
+
+def probabilities(grams: DataFrame, model: QualityModel) -> DataFrame:
+    """(gram, p) for the distinct ORDER-grams of a column ``gram``: the interpolated probability of the last byte after the others.
+
+    Level by level: the gram's count joins by gram, its context's sums by the context, the lower level's probability by the gram without its first byte. A context that isn't known leaves the lower level's probability as it is.
+    """
+    asked = {ORDER: grams.select("gram").distinct()}
+    for n in range(ORDER - 1, DENSE - 1, -1):
+        asked[n] = asked[n + 1].select(_suffix(n).alias("gram")).distinct()
+    low = grams.sparkSession.createDataFrame(pa.table({"gram": np.arange(len(model.low)), "p": model.low}))
+    p = low
+    for n in range(DENSE + 1, ORDER + 1):
+        c, off = F.col("c"), model.off[n]
+        discount = F.when(c == 1, off[0]).when(c == 2, off[1]).when(c > 2, off[2]).otherwise(0.0)
+        sums = model.levels[n].groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("total"), F.sum(discount).alias("taken"))
+        known = asked[n].join(model.levels[n], "gram", "left").select("gram", F.coalesce("c", F.lit(0)).alias("c"), F.shiftright("gram", 8).alias("context"), _suffix(n - 1).alias("rest"))
+        met = known.join(sums, "context", "left").join(p.select(F.col("gram").alias("rest"), F.col("p").alias("back")), "rest")
+        value = F.when(F.col("total").isNull(), F.col("back")).otherwise((c - discount + F.col("taken") * F.col("back")) / F.col("total"))
+        p = cut(met.select("gram", value.alias("p")))
+    return p
+
+
+def _block_id(k: int) -> int:
+    return TaskContext.get().partitionId() << 32 | k
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram): the distinct grams of each block."""
+    for k, block in enumerate(_blocks(batches)):
+        g = np.zeros(0, dtype=np.int64)
+        for _, texts in block:
+            g = np.union1d(g, _grams(texts)[0])
+        for at in range(0, len(g), 100_000):
+            some = g[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), _block_id(k))), pa.array(some)], ["block", "gram"])
+
+
+_PACKED = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block, compressed slice by slice; blocks as in _ask."""
+    for k, block in enumerate(_blocks(batches)):
+        for rows, texts in block:
+            data = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+            columns = [[_block_id(k)], [rows.column("doc_id").to_pylist()], [rows.column("lang").to_pylist()], [[len(t) for t in texts]], [data]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
+
+
+def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """(doc_id, lang, perplexity) of the rows of one block."""
+    gram, p = answers.column("gram").to_numpy(), answers.column("p").to_numpy()
+    order = np.argsort(gram)
+    gram, bits = gram[order], np.log2(p[order])
+    out: list[list] = [[], [], []]
+    for ids, langs, lengths, data in zip(*(texts.column(c).to_pylist() for c in ("ids", "langs", "lengths", "data")), strict=True):
+        flat, ends = pa.decompress(data, decompressed_size=sum(lengths), codec="zstd", asbytes=True), np.cumsum(lengths).tolist()
+        g, _ = _grams([flat[z - n : z] for z, n in zip(ends, lengths, strict=True)])
+        at = np.minimum(np.searchsorted(gram, g), len(gram) - 1)
+        if len(g) and not (len(gram) and (gram[at] == g).all()):
+            raise RuntimeError("a block's rows changed between two reads; write the documents to a table first")
+        sums = np.concatenate([[0.0], np.cumsum(bits[at] if len(g) else [])])
+        for i, (doc, lang, z, n) in enumerate(zip(ids, langs, ends, lengths, strict=True)):
+            out[0].append(doc)
+            out[1].append(lang)
+            out[2].append(math.exp2(min(1000.0, (sums[z - n] - sums[z]) / n)) if n else None)
+    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.float64()), strict=True)], ["doc_id", "lang", "perplexity"])
 
 
 def perplexity(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """(doc_id, lang, perplexity) for each row of docs: per byte, over its whole text; null for an empty or null text. Extra columns are ignored."""
-    held = docs.sparkSession.sparkContext.broadcast(model.log2)
+    """(doc_id, lang, perplexity) for each row of docs: per byte, over its whole text; null for an empty or null text. Extra columns are ignored.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches):
-            g, lengths = _grams(texts)
-            sums = np.concatenate([[0.0], np.cumsum(held.value[g], dtype=np.float64)])
-            ends = np.cumsum(lengths)
-            total = sums[ends] - sums[ends - lengths]
-            value = [math.exp2(min(1000.0, -t / n)) if n else None for t, n in zip(total.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(value, pa.float64())], ["doc_id", "lang", "perplexity"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang string, perplexity double")
+    Blocks of about BLOCK_BYTES of text ask for their distinct grams, which bounds the rows of a frequent gram by the number of blocks; grams meet the model in joins, and a block's answers its compressed texts. docs is read twice and must come in the same partitions both times, as a table does; if it doesn't, the job fails.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    asked = base.mapInArrow(_ask, "block long, gram long")
+    answers = asked.join(probabilities(asked, model), "gram")
+    texts = base.mapInArrow(_pack, "block long, ids array<long>, langs array<string>, lengths array<long>, data binary")
+    return texts.groupBy("block").cogroup(answers.select("block", "gram", "p").groupBy("block")).applyInArrow(_score, "doc_id long, lang string, perplexity double")
 
 
 def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -160,7 +219,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality = 1").select("doc_id").distinct()
     tested = F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 1")
     model = train(rows_of(docs, good.where(~tested)).select("text"))
-    scored = perplexity(docs, model)
+    scored = cut(perplexity(docs, model))
     trusted = scored.where("perplexity is not null").join(good, "doc_id", "left_semi").withColumn("tested", tested)
     q, n = F.lit(quantile), F.lit(10_000)
 

@@ -143,10 +143,57 @@ def test_trees_and_calibration():
     assert (np.diff(q) >= 0).all() and q[0] < 0.01 and q[2] > 0.99 and 0.4 < q[1] < 0.6
 
 
-def test_kneser_ney_is_a_distribution(spark, docs_of, odd_rows):
-    grams, n = np.unique(quality._grams([b"the cat sat on the mat\n" * 3, b"", b"a"])[0], return_counts=True)
-    t = 2 ** quality.kneser_ney(grams, n).astype(float).reshape(-1, quality.SYMBOLS)
-    assert np.allclose(t.sum(axis=1), 1, atol=1e-4) and (t > 0).all()
+def perplexity_by_hand(trusted, texts):
+    """Kneser-Ney with dictionaries, one conditional probability at a time."""
+    order = quality.ORDER
+    pad = b"\n" * (order - 1)
+    level = Counter(bytes((pad + t)[i : i + order]) for t in trusted for i in range(len(t)))
+    levels = {order: level}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    tables = {}
+    for n, c in levels.items():
+        off = (0.0, *quality.discounts(*(sum(x == k for x in c.values()) for k in (1, 2, 3, 4))))
+        total, taken = Counter(), Counter()
+        for g, x in c.items():
+            total[g[:-1]] += x
+            taken[g[:-1]] += off[min(x, 3)]
+        tables[n] = c, off, total, taken
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        c, off, total, taken = tables[len(g)]
+        back = p(g[1:])
+        if g[:-1] not in total:
+            return back
+        return (c.get(g, 0) - off[min(c.get(g, 0), 3)] + taken[g[:-1]] * back) / total[g[:-1]]
+
+    return [2 ** (-sum(math.log2(p((pad + t)[i : i + order])) for i in range(len(t))) / len(t)) if t else None for t in texts]
+
+
+def test_perplexity_against_brute_force(docs_of, odd_rows, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    random.seed(11)
+    words = ["the", "and", "of", "ther", "été", "Straße", "x1", "\n"]
+    texts = [" ".join(random.choice(words) for _ in range(random.randrange(1, 80))) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(i, t if i != 5 else t[:3000]) for i, t in odd_rows]
+    model = quality.train(docs_of(list(enumerate(texts[:30])) + [(1, None), (2, "")]).select("text"))
+    got = [(str(r.doc_id), r.perplexity or 0) for r in quality.perplexity(docs_of(rows), model).collect()]
+    want = perplexity_by_hand([t.encode() for t in texts[:30]], [(t or "").encode() for _, t in rows])
+    want = [(str(i), x or 0) for (i, _), x in zip(rows, want, strict=True)]
+    assert [g[0] for g in sorted(got)] == [w[0] for w in sorted(want)]
+    assert [g[1] for g in sorted(got)] == pytest.approx([w[1] for w in sorted(want)], rel=1e-9)
+
+
+def test_kneser_ney_is_a_distribution(spark, docs_of):
+    model = quality.train(docs_of([(1, "the cat sat on the mat\n" * 3), (2, ""), (3, "a")]).select("text"))
+    assert np.allclose(model.low.reshape(-1, 256).sum(axis=1), 1)
+    contexts = [b"the ", b"xthe", b"zzzz", b"\n\n\n\n"]
+    grams = [int.from_bytes(c + bytes([b]), "big") for c in contexts for b in range(256)]
+    got = quality.probabilities(spark.createDataFrame([(g,) for g in grams], "gram long"), model).toPandas()
+    assert len(got) == len(grams) and (got.p > 0).all()
+    assert np.allclose(got.groupby(got.gram // 256).p.sum(), 1)
     assert [len(quality._grams([x])[0]) for x in (b"", b"a", b"abcd")] == [0, 1, 4]
     one, two = quality._grams([b"abc"])[0].tolist(), quality._grams([b"xy"])[0].tolist()
     assert quality._grams([b"abc", b"", b"xy"])[0].tolist() == one + two
