@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,20 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], lengths
 
 
+def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, ascending, and where each begins in the sorted array."""
+    s = np.sort(g)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
+    return s[first], first
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches):
-        found = [np.unique(_grams(texts)[0], return_counts=True) for _, texts in block]
+        found = []
+        for _, texts in block:
+            all_ = _grams(texts)[0]
+            g, first = _distinct(all_)
+            found.append((g, np.diff(first, append=len(all_))))
         g, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
         n = np.bincount(at, np.concatenate([c for _, c in found]), len(g)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["gram", "c"])
@@ -123,7 +135,7 @@ def probabilities(grams: DataFrame, model: QualityModel) -> DataFrame:
 
     Level by level: the gram's count joins by gram, its context's sums by the context, the lower level's probability by the gram without its first byte. A context that isn't known leaves the lower level's probability as it is.
     """
-    asked = {ORDER: grams.select("gram").distinct()}
+    asked = {ORDER: cut(grams.select("gram").distinct())}
     for n in range(ORDER - 1, DENSE - 1, -1):
         asked[n] = asked[n + 1].select(_suffix(n).alias("gram")).distinct()
     low = grams.sparkSession.createDataFrame(pa.table({"gram": np.arange(len(model.low)), "p": model.low}))
@@ -146,9 +158,7 @@ def _block_id(k: int) -> int:
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, gram): the distinct grams of each block."""
     for k, block in enumerate(_blocks(batches)):
-        g = np.zeros(0, dtype=np.int64)
-        for _, texts in block:
-            g = np.union1d(g, _grams(texts)[0])
+        g, _ = _distinct(np.concatenate([_distinct(_grams(texts)[0])[0] for _, texts in block]))
         for at in range(0, len(g), 100_000):
             some = g[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), _block_id(k))), pa.array(some)], ["block", "gram"])
@@ -168,17 +178,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
     """(doc_id, lang, perplexity) of the rows of one block."""
-    gram, p = answers.column("gram").to_numpy(), answers.column("p").to_numpy()
-    order = np.argsort(gram)
-    gram, bits = gram[order], np.log2(p[order])
+    gram, bits = answers.column("gram").combine_chunks(), np.log2(answers.column("p").to_numpy())
     out: list[list] = [[], [], []]
     for ids, langs, lengths, data in zip(*(texts.column(c).to_pylist() for c in ("ids", "langs", "lengths", "data")), strict=True):
         flat, ends = pa.decompress(data, decompressed_size=sum(lengths), codec="zstd", asbytes=True), np.cumsum(lengths).tolist()
         g, _ = _grams([flat[z - n : z] for z, n in zip(ends, lengths, strict=True)])
-        at = np.minimum(np.searchsorted(gram, g), len(gram) - 1)
-        if len(g) and not (len(gram) and (gram[at] == g).all()):
+        at = pc.index_in(pa.array(g), value_set=gram)
+        if at.null_count:
             raise RuntimeError("a block's rows changed between two reads; write the documents to a table first")
-        sums = np.concatenate([[0.0], np.cumsum(bits[at] if len(g) else [])])
+        sums = np.concatenate([[0.0], np.cumsum(bits[at.to_numpy()])])
         for i, (doc, lang, z, n) in enumerate(zip(ids, langs, ends, lengths, strict=True)):
             out[0].append(doc)
             out[1].append(lang)
