@@ -6,9 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Tokens whose moves are summed at once; bounds the E-step's temporaries.
-CHUNK = 100_000
-
 
 @dataclass
 class Chain:
@@ -67,38 +64,39 @@ class Counts:
         if not len(seq):
             return
         obs, active, begin, _ = _by_time(seq, lengths)
-        move = chain.move.astype(np.float32)
+        move, start = chain.move.astype(np.float32), chain.start.astype(np.float32)
         back = np.ascontiguousarray(move.T)
         e = chain.emit.astype(np.float32)[obs]
         alpha = np.empty_like(e)
         scale = np.empty((len(obs), 1), dtype=np.float32)
         steps, begins = active.tolist(), begin.tolist()
-        for t, n in enumerate(steps):
-            at = begins[t]
-            a, c = alpha[at : at + n], scale[at : at + n]
-            if t:
-                np.matmul(alpha[begins[t - 1] : begins[t - 1] + n], move, out=a)
-                a *= e[at : at + n]
+        last = None
+        for n, at in zip(steps, begins, strict=False):
+            a, c, now = alpha[at : at + n], scale[at : at + n], e[at : at + n]
+            if last is None:
+                np.multiply(now, start, out=a)
             else:
-                np.multiply(e[:n], chain.start.astype(np.float32), out=a)
+                np.matmul(last[:n], move, out=a)
+                np.multiply(a, now, out=a)
             np.add.reduce(a, axis=1, keepdims=True, out=c)
-            a /= c
+            np.divide(a, c, out=a)
+            last = a
         self.log10 += float(np.log10(scale).sum(dtype=np.float64))
-        # e becomes emission times backward value over scale
+        # e becomes emission times backward value over scale, alpha the probability of each state
         e /= scale
+        moves, held = np.zeros(self.move.shape), np.empty((steps[0], len(start)), dtype=np.float32)
+        w = e[begins[len(steps) - 1] : begins[len(steps)]]
         for t in range(len(steps) - 1, 0, -1):
-            at, n, before = begins[t], steps[t], begins[t - 1]
-            e[before : before + n] *= e[at : at + n] @ back
-        moves = np.zeros(self.move.shape)
-        lag = np.repeat(active[:-1], active[1:])  # from a token to the one before it in its text
-        for i in range(0, len(lag), CHUNK):
-            now = np.arange(steps[0] + i, steps[0] + min(i + CHUNK, len(lag)))
-            w, before = e[now[0] : now[-1] + 1], now - lag[i : i + CHUNK]
-            a = alpha[before]
+            n, at = steps[t], begins[t - 1]
+            a, b = alpha[at : at + n], held[:n]
             moves += a.T @ w
-            alpha[before] = a * (w @ back)
+            np.matmul(w, back, out=b)
+            np.multiply(a, b, out=a)
+            w = e[at : at + steps[t - 1]]
+            w[:n] *= b
         self.start += alpha[: steps[0]].sum(axis=0)
         self.move += moves * chain.move
+        obs = obs.astype(np.intp)
         for s in range(alpha.shape[1]):
             self.emit[:, s] += np.bincount(obs, alpha[:, s], len(self.emit))
 

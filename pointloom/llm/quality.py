@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -51,29 +53,47 @@ def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], first
 
 
+class _Distinct:
+    """Distinct numbers with their counts, from one array after the other."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, g: np.ndarray) -> None:
+        s, first = _distinct(g)
+        self.parts.append((s, np.diff(first, append=len(g))))
+        self.held += len(s)
+        if self.held > 1_000_000:
+            self.parts = [self.all()]
+            self.held = len(self.parts[0][0]) // 2  # merged again when it has grown by half a million at least
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        g, n = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*self.parts, strict=True)) if self.parts else np.zeros((2, 0), dtype=np.int64)
+        order = np.argsort(g, kind="stable")
+        g = g[order]
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
+        return g[first], np.add.reduceat(n[order], first) if len(g) else n
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches):
-        found = []
-        for _, texts in block:
-            all_ = _grams(texts)[0]
-            g, first = _distinct(all_)
-            found.append((g, np.diff(first, append=len(all_))))
-        g, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([c for _, c in found]), len(g)).astype(np.int64)
+    """(gram, c) of each block."""
+    for _, block in groupby(_blocks(batches), key=itemgetter(0)):
+        found = _Distinct()
+        for _, _, texts in block:
+            found.add(_grams(texts)[0])
+        g, n = found.all()
         yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["gram", "c"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.RecordBatch, list[bytes]]]]:
-    """Slices of rows in lists of about BLOCK_BYTES of text."""
-    block, size = [], 0
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+    """Slices of rows with the number of their block, which has about BLOCK_BYTES of text."""
+    k, size = 0, 0
     for rows, texts in slices(batches):
-        block.append((rows, texts))
+        yield k, rows, texts
         size += sum(map(len, texts))
         if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+            k, size = k + 1, 0
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -157,8 +177,11 @@ def _block_id(k: int) -> int:
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, gram): the distinct grams of each block."""
-    for k, block in enumerate(_blocks(batches)):
-        g, _ = _distinct(np.concatenate([_distinct(_grams(texts)[0])[0] for _, texts in block]))
+    for k, block in groupby(_blocks(batches), key=itemgetter(0)):
+        found = _Distinct()
+        for _, _, texts in block:
+            found.add(_grams(texts)[0])
+        g, _ = found.all()
         for at in range(0, len(g), 100_000):
             some = g[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), _block_id(k))), pa.array(some)], ["block", "gram"])
@@ -169,11 +192,10 @@ _PACKED = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lan
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a block, compressed slice by slice; blocks as in _ask."""
-    for k, block in enumerate(_blocks(batches)):
-        for rows, texts in block:
-            data = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
-            columns = [[_block_id(k)], [rows.column("doc_id").to_pylist()], [rows.column("lang").to_pylist()], [[len(t) for t in texts]], [data]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
+    for k, rows, texts in _blocks(batches):
+        data = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+        columns = [[_block_id(k)], [rows.column("doc_id").to_pylist()], [rows.column("lang").to_pylist()], [[len(t) for t in texts]], [data]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
 
 def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:

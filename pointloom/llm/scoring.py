@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,10 @@ HEAD, TAILS = 65_278, 256
 STATES, ROUNDS, GAIN = 8, 14, 1e-4
 #: Taken off each count within a tail class, in favour of unknown words.
 DISCOUNT = 0.75
-#: Tokens that one forward or Baum-Welch block takes, about.
-BLOCK_TOKENS = 2_000_000
+#: Tokens that one forward or Baum-Welch block takes at most, about; a block takes as many steps as its longest text, so it holds texts of like length, MEAN_ACTIVE of them at least, and texts of more than LONG tokens meet in few tasks.
+BLOCK_TOKENS, MEAN_ACTIVE, LONG = 2_000_000, 400, 2048
+#: Rows of the model that are summed together, and partial sums that one task adds up.
+CHUNK, FAN = 1024, 64
 _END = b""  # no word is empty
 
 
@@ -76,19 +79,33 @@ class Classes:
         return [get(w) or n + zlib.crc32(w[-3:]) % TAILS for w in words]
 
 
+def _width(n: int) -> int:
+    """Class of texts of like length: the power of two up to which a text of n tokens reaches."""
+    return max(6, (n - 1).bit_length())
+
+
+def _enough(width: int, size: int) -> bool:
+    return size >= min(BLOCK_TOKENS, MEAN_ACTIVE << width)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(class sequence, lengths) of about BLOCK_TOKENS from rows of packed sequences."""
-    seqs, lengths, size = [], [], 0
+    """(class sequence, lengths) of texts of like length from rows of packed sequences."""
+    held: dict[int, list[tuple[bytes, bytes]]] = {}
+    size: Counter[int] = Counter()
+
+    def block(width: int) -> tuple[np.ndarray, np.ndarray]:
+        seqs, lengths = zip(*held.pop(width), strict=True)
+        size[width] = 0
+        return np.frombuffer(b"".join(seqs), "<u2"), np.frombuffer(b"".join(lengths), "<i8")
+
     for b in batches:
-        for s, n in zip(b.column("seq").to_pylist(), b.column("lengths").to_pylist(), strict=True):
-            seqs.append(s)
-            lengths.append(n)
-            size += len(s) // 2
-            if size >= BLOCK_TOKENS:
-                yield np.frombuffer(b"".join(seqs), "<u2"), np.frombuffer(b"".join(lengths), "<i8")
-                seqs, lengths, size = [], [], 0
-    if size:
-        yield np.frombuffer(b"".join(seqs), "<u2"), np.frombuffer(b"".join(lengths), "<i8")
+        for s, n, width in zip(*(b.column(c).to_pylist() for c in ("seq", "lengths", "width")), strict=True):
+            held.setdefault(width, []).append((s, n))
+            size[width] += len(s) // 2
+            if _enough(width, size[width]):
+                yield block(width)
+    for width in sorted(held):
+        yield block(width)
 
 
 @dataclass
@@ -131,10 +148,18 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Langua
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data in slices(batches):
             seqs = [np.array([*held.value.of(tokens(t)), 0], dtype="<u2") for t in data]
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(seqs).tobytes()], pa.binary()), pa.array([np.array([len(s) for s in seqs], dtype="<i8").tobytes()], pa.binary())], ["seq", "lengths"])
+            by_width: dict[int, list[np.ndarray]] = {}
+            for x in seqs:
+                by_width.setdefault(_width(len(x)), []).append(x)
+            columns = [[np.concatenate(v).tobytes() for v in by_width.values()], [np.array([len(x) for x in v], dtype="<i8").tobytes() for v in by_width.values()], list(by_width)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["seq", "lengths", "width"])
 
     chain = first_chain(share, states)
-    coded = cut(texts.mapInArrow(encode, "seq binary, lengths binary"))
+    coded = cut(texts.mapInArrow(encode, "seq binary, lengths binary, width int"))
+    # long texts meet in few tasks, whose blocks then hold many of them
+    long = F.col("width") > _width(LONG)
+    in_long = coded.where(long).agg(F.sum(F.length("seq"))).first()[0] or 0
+    coded = coded.where(~long).unionByName(coded.where(long).coalesce(in_long // (2 * BLOCK_TOKENS) + 1))
     last = -np.inf
     for _ in range(rounds):
         chain, reached = _round(coded, chain, share)
@@ -144,22 +169,40 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Langua
     return LanguageModel(counts, int(total or 0), int(distinct), classes, chain)
 
 
+def _sum(rows: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, "<f4") for x in rows.column("data").to_pylist()], axis=0, dtype=np.float64)
+    return pa.table([rows.column("chunk").slice(0, 1), rows.column("part").slice(0, 1), pa.array([total.astype("<f4").tobytes()], pa.binary())], ["chunk", "part", "data"])
+
+
 def _round(coded: DataFrame, chain: Chain, share: np.ndarray) -> tuple[Chain, float]:
-    """One Baum-Welch round over all partitions, and the log10 likelihood by the chain that it began with."""
+    """One Baum-Welch round over all partitions, and the log10 likelihood by the chain that it began with.
+
+    A task sends its expected counts as chunks of the model's rows; chunks are added up in single precision steps of FAN, so no task receives more, however many partitions there are.
+    """
     states, size = len(chain.start), len(share)
     held = coded.sparkSession.sparkContext.broadcast(chain)
+    height = -(-(size + states + 2) // CHUNK) * CHUNK
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counts.zero(states, size)
         for seq, lengths in _blocks(batches):
             c.add(held.value, seq, lengths)
-        rows = np.concatenate([c.emit, c.move, c.start[None], np.eye(1, states) * c.log10])
+        rows = np.zeros((height, states), dtype="<f4")
+        np.concatenate([c.emit, c.move, c.start[None], np.eye(1, states) * c.log10], out=rows[: size + states + 2], casting="same_kind")
+        rows = rows.reshape(-1, CHUNK * states)
         some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(rows[some, s]) for s in range(states))], ["row", *(f"s{s}" for s in range(states))])
-
-    sums = coded.mapInArrow(expect, "row long, " + ", ".join(f"s{s} double" for s in range(states))).groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toArrow()
-    rows = np.zeros((size + states + 2, states))
-    rows[sums.column("row").to_numpy()] = np.stack([sums.column(f"s{s}").to_numpy() for s in range(states)], axis=1)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), part), pa.int64()), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["chunk", "part", "data"])
+
+    parts, n = coded.mapInArrow(expect, "chunk long, part long, data binary"), coded.rdd.getNumPartitions()
+    while n > FAN:
+        n = -(-n // FAN)
+        parts = parts.withColumn("part", F.col("part") % n).groupBy("chunk", "part").applyInArrow(_sum, "chunk long, part long, data binary")
+    sums = parts.groupBy("chunk").applyInArrow(_sum, "chunk long, part long, data binary").toArrow()  # the model's size
+    rows = np.zeros((height // CHUNK, CHUNK * states))
+    for k, data in zip(sums.column("chunk").to_pylist(), sums.column("data").to_pylist(), strict=True):
+        rows[k] = np.frombuffer(data, "<f4")
+    rows = rows.reshape(height, states)[: size + states + 2]
     return (Counts(rows[-2], rows[size : size + states], rows[:size]).chain(share) if rows.any() else chain), float(rows[-1, 0])
 
 
@@ -180,11 +223,12 @@ def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, chain, head_log, seen, unseen, trained = held.value
         n_head = len(classes.counts)
-        rids: list[int] = []
-        docs_: list = []
-        seqs: list[np.ndarray] = []
+        waiting: dict[int, list[tuple]] = {}
+        size: Counter[int] = Counter()
 
-        def block() -> pa.RecordBatch:
+        def block(width: int) -> pa.RecordBatch:
+            rids, docs_, seqs = zip(*waiting.pop(width), strict=True)
+            size[width] = 0
             lengths = np.array([len(s) for s in seqs], dtype=np.int64)
             seq = np.concatenate(seqs)
             total = log10_likelihood(chain, seq, lengths) if trained else np.zeros(len(lengths))
@@ -197,7 +241,6 @@ def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
             columns = [rids, docs_, lengths, heads, total, base, [b" %d" % r for r in rids], none, none, none]  # no word starts with a space
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-        size = 0
         for rows, texts in slices(batches):
             tail: list[list] = [[], [], [], [], []]
             for rid, doc, t in zip(rows.column("rid").to_pylist(), rows.column("doc_id").to_pylist(), texts, strict=True):
@@ -207,18 +250,16 @@ def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     for column, value in zip(tail, (rid, w, n, seen[j - n_head], unseen[j - n_head]), strict=True):
                         column.append(value)
                 ids.append(0)
-                rids.append(rid)
-                docs_.append(doc)
-                seqs.append(np.array(ids, dtype=np.int32))
-                size += len(ids)
+                width = _width(len(ids))
+                waiting.setdefault(width, []).append((rid, doc, np.array(ids, dtype=np.int32)))
+                size[width] += len(ids)
             none = [None] * len(tail[0])
             columns = [tail[0], none, none, none, none, none, *tail[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-            if size >= BLOCK_TOKENS:
-                yield block()
-                rids, docs_, seqs, size = [], [], [], 0
-        if seqs:
-            yield block()
+            for width in [w for w in waiting if _enough(w, size[w])]:
+                yield block(width)
+        for width in sorted(waiting):
+            yield block(width)
 
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = base.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_head long, chain double, base double, word binary, times long, seen double, unseen double")
