@@ -15,9 +15,10 @@ from pointloom.operators.kernels import components
 from pointloom.session import cut, prepare, table
 
 #: Dimensions of a block, and members of a strip that one task compares with as many.
-BLOCK_DIMS, TILE_ROWS = 4, 4096
+BLOCK_DIMS, TILE_ROWS = 8, 4096
 #: Allows for rounding where candidates are chosen; links are decided in double precision.
 SLACK = 1e-5
+_STEPS = np.random.default_rng(13).integers(0, 1 << 63, BLOCK_DIMS, dtype=np.int64) * 2 + 1
 
 
 @functools.cache
@@ -87,6 +88,19 @@ class _Spanning:
         return at, low[at]
 
 
+def _cells(part: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) sorted by cell: cells of width 2 reach in all coordinates but the first, named by a hash. A row stands in its own cell and, along each coordinate, in the next one if it lies within reach of it; so rows within reach of each other share a cell."""
+    at = part[:, 1:].astype(np.float64) / (2 * reach)
+    home = np.floor(at)
+    visits = at + 0.5 >= home + 1
+    row, cell = np.arange(len(part)), (home.astype(np.int64) * _STEPS[: at.shape[1]]).sum(axis=1)
+    for d in range(at.shape[1]):
+        more = np.flatnonzero(visits[row, d])
+        row, cell = np.concatenate([row, row[more]]), np.concatenate([cell, cell[more] + _STEPS[d]])
+    order = np.argsort(cell, kind="stable")
+    return row[order], cell[order]
+
+
 def _range_join(threshold: float):
     """Pairs of a tile within the block's budget whose block norms don't already differ by more than the whole budget, as edges that span their groups."""
     budget = 2 - 2 * threshold
@@ -96,22 +110,33 @@ def _range_join(threshold: float):
         keys = np.array(rows.column("key").to_pylist(), dtype=object)
         part = np.frombuffer(b"".join(rows.column("part").to_pylist()), np.float32).reshape(len(keys), -1)
         norms = np.frombuffer(b"".join(rows.column("norms").to_pylist()), np.float32).reshape(len(keys), -1)
-        home, side = rows.column("home").to_numpy(), rows.column("tile").to_numpy()
-        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        b = b[np.argsort(part[b, 0], kind="stable")]
-        line = part[b, 0]
-        limit = (np.sqrt(budget * part.shape[1] / dim) + SLACK) ** 2
-        reach, found = np.sqrt(limit), _Spanning(len(keys))
-        for p in a.tolist():
-            # the sweep along the sorted first coordinate
-            lo, hi = np.searchsorted(line, (part[p, 0] - reach, part[p, 0] + reach))
-            q = b[lo:hi]
-            d = part[q] - part[p]
-            q = q[(d * d).sum(axis=1) <= limit]
-            if len(q):
-                d = norms[q] - norms[p]
-                q = q[((d * d).sum(axis=1) <= budget + SLACK) & (home[q] | home[p]) & (q != p)]
-                found.add(np.full(len(q), p), q)
+        home, side = rows.column("home").to_numpy(zero_copy_only=False), rows.column("tile").to_numpy()
+        reach = np.sqrt(budget * part.shape[1] / dim) + SLACK
+        row, cell = _cells(part, reach)
+        found, low = _Spanning(len(keys)), np.arange(len(keys))
+        at, step = np.arange(len(row)), 0
+        while True:
+            # members of a cell against those that stand step places behind them
+            step += 1
+            at = at[: np.searchsorted(at, len(row) - step)]
+            at = at[cell[at] == cell[at + step]]
+            if not len(at):
+                break
+            p, q = row[at], row[at + step]
+            open_ = (low[p] != low[q]) & (home[p] | home[q])
+            if i != j:
+                open_ &= side[p] != side[q]
+            p, q = p[open_], q[open_]
+            d = part[p] - part[q]
+            near = (d * d).sum(axis=1) <= reach * reach
+            p, q = p[near], q[near]
+            d = norms[p] - norms[q]
+            near = (d * d).sum(axis=1) <= budget + SLACK
+            if near.any():
+                found.add(p[near], q[near])
+                if step < 8 or step % 64 == 0:  # rows that are linked already need no comparison
+                    left, right = found.edges()
+                    low = components(len(keys), left, right)
         left, right = found.edges()
         return pa.table([pa.array(keys[left], pa.string()), pa.array(keys[right], pa.string())], ["a", "b"])
 
