@@ -235,13 +235,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each class of similar_documents() one row with the smallest doc_id, and one of the rows with a null doc_id, if it has such; rows without words stay."""
+    """Of each class of similar_documents() the row with the smallest doc_id, one without an id only where no row of the class has one; of rows with the same id the first. Rows without words stay."""
     rows = numbered(docs)
     sketches, _, _, groups = _groups(rows.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("named")
-    firsts = sketches.where("key is not null").groupBy("key").agg(named, F.min(F.when(F.col("doc_id").isNull(), F.col("row"))).alias("unnamed"))
-    firsts = firsts.join(groups, "key", "left").groupBy(F.coalesce("component", "key").alias("class")).agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
-    kept = firsts.select(F.explode(F.array("named.row", "unnamed")).alias(ROW)).where(F.col(ROW).isNotNull()).unionByName(sketches.where("key is null").select(F.col("row").alias(ROW)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    firsts = sketches.where("key is not null").groupBy("key").agg(first.alias("first"))
+    firsts = firsts.join(groups, "key", "left").groupBy(F.coalesce("component", "key").alias("class")).agg(F.min("first").alias("first"))
+    kept = firsts.select(F.col("first.row").alias(ROW)).unionByName(sketches.where("key is null").select(F.col("row").alias(ROW)))
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 

@@ -56,8 +56,10 @@ def test_pruning_bound_and_empty_table(docs_of):
 
 def test_one_of_each_group_stays(docs_of):
     t = " ".join(f"w{i}" for i in range(50))
-    d = docs_of([(3, t), (2, t + " more"), (9, "else"), (None, t)])
-    assert sorted(str(r.doc_id) for r in jaccard.keep_one(d).collect()) == ["2", "9", "None"]
+    other = " ".join(f"v{i}" for i in range(50))
+    d = docs_of([(3, t), (2, t + " more"), (2, t), (9, "else"), (None, t), (None, other), (None, other), (None, None), (None, None)])
+    assert sorted((str(r.doc_id), r.text or "") for r in jaccard.keep_one(d).collect()) == sorted([("2", t + " more"), ("9", "else"), ("None", other), ("None", ""), ("None", "")])
+    assert jaccard.keep_one(docs_of([])).count() == 0
 
 
 def removed_by_hand(texts, n):
