@@ -169,9 +169,23 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Langua
     return LanguageModel(counts, int(total or 0), int(distinct), classes, chain)
 
 
-def _sum(rows: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, "<f4") for x in rows.column("data").to_pylist()], axis=0, dtype=np.float64)
-    return pa.table([rows.column("chunk").slice(0, 1), rows.column("part").slice(0, 1), pa.array([total.astype("<f4").tobytes()], pa.binary())], ["chunk", "part", "data"])
+_PART = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("rows", pa.binary()), ("data", pa.binary())])
+_PART_TYPE = "chunk long, part long, rows binary, data binary"
+
+
+def _parts(counts: np.ndarray, chunks: list[int], part: int) -> list[pa.Array]:
+    """Of (chunks, CHUNK, states) counts the rows that aren't all 0, by chunk."""
+    some = [np.flatnonzero(c.any(axis=1)).astype("<u2") for c in counts]
+    own = [k for k, at in enumerate(some) if len(at)]
+    columns = [[chunks[k] for k in own], [part] * len(own), [some[k].tobytes() for k in own], [counts[k][some[k]].astype("<f4").tobytes() for k in own]]
+    return [pa.array(c, t) for c, t in zip(columns, _PART.types, strict=True)]
+
+
+def _added(table: pa.Table, states: int) -> np.ndarray:
+    total = np.zeros((CHUNK, states))
+    for at, data in zip(table.column("rows").to_pylist(), table.column("data").to_pylist(), strict=True):
+        total[np.frombuffer(at, "<u2")] += np.frombuffer(data, "<f4").reshape(-1, states)
+    return total
 
 
 def _round(coded: DataFrame, chain: Chain, share: np.ndarray) -> tuple[Chain, float]:
@@ -187,21 +201,22 @@ def _round(coded: DataFrame, chain: Chain, share: np.ndarray) -> tuple[Chain, fl
         c = Counts.zero(states, size)
         for seq, lengths in _blocks(batches):
             c.add(held.value, seq, lengths)
-        rows = np.zeros((height, states), dtype="<f4")
-        np.concatenate([c.emit, c.move, c.start[None], np.eye(1, states) * c.log10], out=rows[: size + states + 2], casting="same_kind")
-        rows = rows.reshape(-1, CHUNK * states)
-        some = np.flatnonzero(rows.any(axis=1))
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), part), pa.int64()), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["chunk", "part", "data"])
-
-    parts, n = coded.mapInArrow(expect, "chunk long, part long, data binary"), coded.rdd.getNumPartitions()
+        rows = np.zeros((height, states))
+        np.concatenate([c.emit, c.move, c.start[None], np.eye(1, states) * c.log10], out=rows[: size + states + 2])
+        yield pa.RecordBatch.from_arrays(_parts(rows.reshape(-1, CHUNK, states), list(range(height // CHUNK)), TaskContext.get().partitionId()), schema=_PART)
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        part = key[1].as_py() if len(key) > 1 else 0
+        return pa.Table.from_arrays(_parts(_added(rows, states)[None], [key[0].as_py()], part), schema=_PART)
+
+    parts, n = coded.mapInArrow(expect, _PART_TYPE), coded.rdd.getNumPartitions()
     while n > FAN:
         n = -(-n // FAN)
-        parts = parts.withColumn("part", F.col("part") % n).groupBy("chunk", "part").applyInArrow(_sum, "chunk long, part long, data binary")
-    sums = parts.groupBy("chunk").applyInArrow(_sum, "chunk long, part long, data binary").toArrow()  # the model's size
-    rows = np.zeros((height // CHUNK, CHUNK * states))
-    for k, data in zip(sums.column("chunk").to_pylist(), sums.column("data").to_pylist(), strict=True):
-        rows[k] = np.frombuffer(data, "<f4")
+        parts = parts.withColumn("part", F.col("part") % n).groupBy("chunk", "part").applyInArrow(add, _PART_TYPE)
+    sums = parts.groupBy("chunk").applyInArrow(add, _PART_TYPE).toArrow()  # the model's size
+    rows = np.zeros((height // CHUNK, CHUNK, states))
+    for k, chunk in enumerate(sums.column("chunk").to_pylist()):
+        rows[chunk] = _added(sums.slice(k, 1), states)
     rows = rows.reshape(height, states)[: size + states + 2]
     return (Counts(rows[-2], rows[size : size + states], rows[:size]).chain(share) if rows.any() else chain), float(rows[-1, 0])
 

@@ -82,6 +82,44 @@ def test_scores_against_plain_counts(spark, docs_of, odd_rows, monkeypatch):
     assert all(math.isfinite(g[4]) and g[4] <= 0 for g in got)
 
 
+def test_scores_against_one_word_at_a_time(docs_of, monkeypatch):
+    """The forward recursion with plain loops, and each word's share of its class from plain counts."""
+    monkeypatch.setattr(scoring, "HEAD", 20)
+    rows = [(i, t) for i, t, _ in corpus(40)] + [(100, "unseen wxyz w1"), (101, None)]
+    d = docs_of(rows)
+    model = scoring.train(d.where("doc_id < 30"), states=3, rounds=4)
+    words = Counter(w for i, t in rows if i < 30 for w in (t or "").encode().split())
+    k, chain = model.classes, model.chain
+    n_head = len(k.counts)
+    tail_of = lambda w: zlib.crc32(w[-3:]) % scoring.TAILS
+    tail = [w for w in words if w not in k.head]
+    want = {}
+    for i, t in rows:
+        total, a = 0.0, None
+        for w in [*(t or "").encode().split(), None]:
+            cls = 0 if w is None else k.head.get(w, n_head + tail_of(w) if w not in k.head else 0)
+            a = [chain.start[s] if a is None else sum(a[r] * chain.move[r, s] for r in range(3)) for s in range(3)]
+            a = [x * chain.emit[cls, s] for s, x in enumerate(a)]
+            total += math.log10(sum(a))
+            a = [x / sum(a) for x in a]
+            if cls >= n_head:
+                same = [words[x] for x in tail if tail_of(x) == cls - n_head]
+                share = (words[w] - scoring.DISCOUNT if words[w] else scoring.DISCOUNT * len(same)) / sum(same) if same else 1
+                total += math.log10(share)
+        want[i] = total
+    got = {r.doc_id: r.score for r in scoring.scores(d, model).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in got)
+
+
+def test_partial_sums_of_many_partitions(docs_of, monkeypatch):
+    d = docs_of([(i, t) for i, t, _ in corpus(80)])
+    one = scoring.train(d.coalesce(1), rounds=3)
+    monkeypatch.setattr(scoring, "FAN", 2)
+    monkeypatch.setattr(scoring, "CHUNK", 64)
+    many = scoring.train(d.repartition(9), rounds=3)
+    assert many.chain.emit == pytest.approx(one.chain.emit, rel=1e-3, abs=1e-6) and many.chain.move == pytest.approx(one.chain.move, rel=1e-3)
+
+
 def test_every_round_takes_all_texts(docs_of, monkeypatch):
     monkeypatch.setattr(scoring, "HEAD", 50)
     texts = [t for _, t, _ in corpus(80)] + ["a text that fills any sample"] * 2_100
