@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import AXES, apply_poses, finite, with_cells
 from pointloom.functions.stats import nearest_rank
-from pointloom.operators.cluster import first_independent_set
 from pointloom.operators.neighbors import nearest_distance, radius_pairs
 from pointloom.session import cut
 
@@ -27,7 +26,7 @@ def voxel_first(points: DataFrame, size: float, keys: Sequence[str] = ("semantic
 def decide(points: DataFrame, voxel: float, ghost_radius: float = 0.0, semantic: str = "semantic") -> DataFrame:
     """points with seq_no (arrival over frame, idx, from 0) and status: accepted, ghost or density.
 
-    In order of arrival a point is a ghost if an accepted point of its class lies within ghost_radius, else it is rejected for density if its class already has an accepted point in its voxel. Without a radius the first of each voxel is accepted; with one, the accepted points are the seeds of the conflict graph (same class, and within the radius or in the same voxel). Points that aren't finite are left out.
+    In order of arrival a point is a ghost if an accepted point of its class lies within ghost_radius, else it is rejected for density if its class already has an accepted point in its voxel. Without a radius the first of each voxel is accepted; with one, rounds settle the points that no undecided one before them can rule out. Points that aren't finite are left out.
     """
     p = with_cells(finite(points), voxel)
     # arrival numbers by frame: counts of earlier frames plus the rank within the frame
@@ -39,17 +38,32 @@ def decide(points: DataFrame, voxel: float, ghost_radius: float = 0.0, semantic:
         first = p.groupBy(*cells).agg(F.min("seq_no").alias("f"))
         return p.join(first, cells).withColumn("status", F.when(F.col("seq_no") == F.col("f"), "accepted").otherwise("density")).drop("f", "vx", "vy", "vz")
     p = cut(p)
-    numbered = p.select(semantic, F.col("seq_no").alias("idx"), *AXES, "vx", "vy", "vz")
-    near = radius_pairs(numbered, ghost_radius, (semantic,)).where("i <> j").select(semantic, "i", "j", F.lit(True).alias("ghost"))
-    cellmates = numbered.select(semantic, "vx", "vy", "vz", F.col("idx").alias("i")).join(numbered.select(semantic, "vx", "vy", "vz", F.col("idx").alias("j")), [semantic, "vx", "vy", "vz"]).where("i <> j").select(semantic, "i", "j", F.lit(False).alias("ghost"))
-    conflicts = cut(near.unionByName(cellmates).groupBy(semantic, "i", "j").agg(F.max("ghost").alias("ghost")))
-    seeds = first_independent_set(conflicts, numbered, (semantic,))
-    hit = conflicts.join(seeds.withColumnRenamed("idx", "i"), [semantic, "i"], "left_semi").where("i < j").groupBy(semantic, F.col("j").alias("seq_no")).agg(F.max("ghost").alias("ghost"))
-    met = p.join(seeds.select(semantic, F.col("idx").alias("seq_no"), F.lit(True).alias("seed")), [semantic, "seq_no"], "left").join(hit, [semantic, "seq_no"], "left")
+    near = radius_pairs(p.select(semantic, F.col("seq_no").alias("idx"), *AXES), ghost_radius, (semantic,)).where("i < j").select("i", "j")
+    near = cut(near)
+    accepted = _accepted(p.select("seq_no", semantic, "vx", "vy", "vz"), near, (semantic, "vx", "vy", "vz"))
+    ghosts = near.join(accepted.withColumnRenamed("seq_no", "i"), "i", "left_semi").select(F.col("j").alias("seq_no")).distinct()
+    met = p.join(accepted.withColumn("seed", F.lit(True)), "seq_no", "left").join(ghosts.withColumn("ghost", F.lit(True)), "seq_no", "left")
     status = F.when(F.col("seed"), "accepted").when(F.col("ghost"), "ghost").otherwise("density")
     return met.withColumn("status", status).drop("seed", "ghost", "vx", "vy", "vz")
 
 
+def _accepted(points: DataFrame, near: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """(seq_no) of the points that no earlier accepted one rules out, by nearness (near: i, j with i < j) or by standing in the same cell.
+
+    Rounds over the undecided points: the first of its cell that no undecided point before it is near to is accepted, and what it rules out is decided. A cell counts by its first point only, so a crowded one makes no pairs.
+    """
+    open_, out = points, None
+    while True:
+        first = open_.groupBy(*cells).agg(F.min("seq_no").alias("seq_no"))
+        new = cut(first.join(near.select(F.col("j").alias("seq_no")).distinct(), "seq_no", "left_anti"))
+        out = new.select("seq_no") if out is None else out.unionByName(new.select("seq_no"))
+        reached = near.join(new.select(F.col("seq_no").alias("i")), "i", "left_semi").select(F.col("j").alias("seq_no")).distinct()
+        open_ = cut(open_.join(new.select(*cells), list(cells), "left_anti").join(reached, "seq_no", "left_anti"))
+        if open_.isEmpty():
+            return out
+        near = cut(near.join(open_.select(F.col("seq_no").alias("i")), "i", "left_semi").join(open_.select(F.col("seq_no").alias("j")), "j", "left_semi"))
+
+
 def _cut_at(decided: DataFrame, target: int) -> DataFrame:
     """One row: stop, the arrival of the target-th accepted point (null if fewer)."""
     per_frame = decided.where("status = 'accepted'").groupBy("frame").agg(F.count("*").alias("n"))

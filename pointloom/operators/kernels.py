@@ -120,17 +120,27 @@ def cluster_cloud(xyz: np.ndarray, tol: float, method: str, max_n: int = 0, stri
 
 
 def knn(xyz: np.ndarray, k: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, squared distances) of the k nearest points, itself included, by (distance, index)."""
-    k = min(k, len(xyz))
-    index, dist = np.empty((len(xyz), k), np.int64), np.empty((len(xyz), k))
-    sq = (xyz * xyz).sum(axis=1)
-    for a in range(0, len(xyz), rows):
-        part = xyz[a : a + rows]
-        rough = sq[None] - 2 * part @ xyz.T
-        near = np.argpartition(rough, min(k + 7, len(xyz) - 1), axis=1)[:, : min(k + 8, len(xyz))]
-        d = ((part[:, None] - xyz[near]) ** 2).sum(axis=2)
-        o = np.lexsort((near, d), axis=1)[:, :k]
-        index[a : a + rows], dist[a : a + rows] = np.take_along_axis(near, o, 1), np.take_along_axis(d, o, 1)
+    """(indices, squared distances) of the k nearest points, itself included, by (distance, index).
+
+    Rough distances of the centred cloud only choose the candidates: all points up to the k-th rough distance and the rounding error of either side.
+    """
+    n, k = len(xyz), min(k, len(xyz))
+    index, dist = np.empty((n, k), np.int64), np.empty((n, k))
+    if not k:
+        return index, dist
+    mid = xyz - xyz.mean(axis=0)
+    sq = (mid * mid).sum(axis=1)
+    error = 64 * np.finfo(np.float64).eps * float(sq.max())
+    for a in range(0, n, rows):
+        part = mid[a : a + rows]
+        rough = sq[None] - 2 * part @ mid.T
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + error
+        i, j = np.nonzero(rough <= limit[:, None])
+        d = ((xyz[a + i] - xyz[j]) ** 2).sum(axis=1)
+        o = np.lexsort((j, d, i))
+        first = np.searchsorted(i, np.arange(len(part)))
+        o = o[first[:, None] + np.arange(k)]
+        index[a : a + rows], dist[a : a + rows] = j[o], d[o]
     return index, dist
 
 

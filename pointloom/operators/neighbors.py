@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import AXES, cell, finite, squared_distance
 from pointloom.operators import kernels
-from pointloom.session import prepare
+from pointloom.session import cut, prepare
 
 ALL_OFFSETS = tuple(product((-1, 0, 1), repeat=3))
 #: The own cell and one of each pair of opposite neighbours.
@@ -62,10 +62,52 @@ def half_pairs(points: DataFrame, tol: float, keys: Sequence[str] = ()) -> DataF
     return met.select(*keys, F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "d2")
 
 
-def knn_pairs(points: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, i, j, d2, rank): the k nearest points of each point of the same key, itself included, by (d2, j); one cloud a task."""
+#: Points of a cloud whose nearest neighbours are searched in one task.
+KNN_POINTS = 20_000
+
+
+def _extent(points: DataFrame) -> float:
+    """The longest side of the box around all points, 0 without any."""
+    low_high = points.agg(*(f(F.col(a).cast("double")) for a in AXES for f in (F.min, F.max))).first()
+    return max((high - low for low, high in zip(low_high[::2], low_high[1::2], strict=True) if low is not None), default=0.0)
+
+
+def _probed(left: DataFrame, points: DataFrame, size: float, keys: Sequence[str]) -> DataFrame:
+    """left (keys, i, a_x, a_y, a_z) with each point j of its 27 cells and their squared distance."""
+    probe = left.withColumns({f"c{a}": cell(f"a_{a}", size) for a in AXES}).withColumn("o", F.explode(_offsets(ALL_OFFSETS)))
+    probe = probe.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"o.d{a}") for a in AXES}).drop("o")
+    right = _celled(points, size, keys).select(*keys, F.col("idx").alias("j"), *(F.col(a).alias(f"b_{a}") for a in AXES), *(f"c{a}" for a in AXES))
+    return probe.join(right, [*keys, *(f"c{a}" for a in AXES)]).withColumn("d2", squared_distance("a_", "b_"))
+
+
+def knn_pairs(points: DataFrame, k: int, keys: Sequence[str] = (), strategy: str = "auto", first: float | None = None) -> DataFrame:
+    """(keys, i, j, d2, rank): the k nearest points of each point of the same key, itself included, by (d2, j).
+
+    Clouds of at most KNN_POINTS are searched in one task each (strategy "kernel"). In larger ones ("distributed") cells of the size ``first`` (by default such that a cell would hold k points of an even cloud) are doubled until a point has k others, or all of its key, within the cell size.
+    """
     prepare(points.sparkSession)
     types = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in keys)
+    points = finite(points).select(*keys, "idx", *(F.col(a).cast("double").alias(a) for a in AXES))
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if strategy == "distributed" or strategy == "auto" and largest > KNN_POINTS:
+        extent = _extent(points)
+        size = first or max(extent, 1e-9) * (k / max(1, largest)) ** (1 / 3)
+        wanted = F.least(F.col("_n"), F.lit(k))
+        left = points.join(sizes, list(keys)) if keys else points.crossJoin(F.broadcast(sizes))  # one row without keys
+        left = cut(left.select(*keys, F.col("idx").alias("i"), *(F.col(a).alias(f"a_{a}") for a in AXES), wanted.alias("_k")))
+        done = None
+        while True:
+            near = _probed(left, points, size, keys).where(F.col("d2") <= size * size)
+            order = Window.partitionBy(*keys, "i").orderBy("d2", "j")
+            near = near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= F.col("_k"))
+            full = cut(near.withColumn("_m", F.count("*").over(Window.partitionBy(*keys, "i"))).where(F.col("_m") == F.col("_k")))
+            hit = full.select(*keys, "i", "j", "d2", "rank")
+            done = hit if done is None else done.unionByName(hit)
+            left = cut(left.join(full.select(*keys, "i").distinct(), [*keys, "i"], "left_anti"))
+            if size > 2 * extent or left.isEmpty():
+                return done
+            size *= 2
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx", kind="stable").reset_index(drop=True)
@@ -76,31 +118,28 @@ def knn_pairs(points: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
             out.insert(n, c, rows[c].iloc[0])
         return out
 
-    return finite(points).groupBy(*keys).applyInPandas(run, f"{types}{', ' if keys else ''}i long, j long, d2 double, rank long")
+    return points.groupBy(*keys).applyInPandas(run, f"{types}{', ' if keys else ''}i long, j long, d2 double, rank long")
 
 
-def nearest_distance(queries: DataFrame, points: DataFrame, keys: Sequence[str] = (), first: float = 0.25, rounds: int = 12) -> DataFrame:
-    """(keys, i, d2): distance of each query point to the nearest point of its key.
+def nearest_distance(queries: DataFrame, points: DataFrame, keys: Sequence[str] = (), first: float = 0.25) -> DataFrame:
+    """(keys, i, d2): distance of each query point to the nearest point of its key; none for a query whose key has no points.
 
-    Cells are doubled until every query has a hit within the cell size, which is then surely the nearest; what is left after the last round is compared with all points of its key.
+    Cells are doubled until every query has a hit within the cell size, which is then surely the nearest; at the latest when they are larger than the box around all points. What is left after each round is written to the checkpoint folder.
     """
-    left = finite(queries).select(*keys, F.col("idx").alias("i"), *(F.col(a).alias(f"a_{a}") for a in AXES))
-    done = None
-    size = first
-    for _ in range(rounds):
-        p = _celled(points, size, keys)
-        probe = left.withColumns({f"c{a}": cell(f"a_{a}", size) for a in AXES}).withColumn("o", F.explode(_offsets(ALL_OFFSETS)))
-        probe = probe.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"o.d{a}") for a in AXES}).drop("o")
-        met = probe.join(p.select(*keys, *(F.col(a).alias(f"b_{a}") for a in AXES), *(f"c{a}" for a in AXES)), [*keys, *(f"c{a}" for a in AXES)])
-        hit = met.groupBy(*keys, "i").agg(F.min(squared_distance("a_", "b_")).alias("d2")).where(F.col("d2") <= size * size)
+    points = finite(points).select(*keys, "idx", *(F.col(a).cast("double").alias(a) for a in AXES))
+    left = finite(queries).select(*keys, F.col("idx").alias("i"), *(F.col(a).cast("double").alias(f"a_{a}") for a in AXES))
+    if keys:
+        left = left.join(points.select(*keys).distinct(), list(keys), "left_semi")
+    left = cut(left)
+    around = points.select(*AXES).unionByName(left.select(*(F.col(f"a_{a}").alias(a) for a in AXES)))
+    done, size, extent = None, first, _extent(around)
+    while True:
+        hit = cut(_probed(left, points, size, keys).groupBy(*keys, "i").agg(F.min("d2").alias("d2")).where(F.col("d2") <= size * size))
         done = hit if done is None else done.unionByName(hit)
-        left = left.join(hit.select(*keys, "i"), [*keys, "i"], "left_anti")
-        size *= 2
-        if left.isEmpty():
+        left = cut(left.join(hit.select(*keys, "i"), [*keys, "i"], "left_anti"))
+        if size > 2 * extent or left.isEmpty():
             return done
-    right = finite(points).select(*keys, *(F.col(a).alias(f"b_{a}") for a in AXES))
-    rest = left.join(right, list(keys)) if keys else left.crossJoin(right)
-    return done.unionByName(rest.groupBy(*keys, "i").agg(F.min(squared_distance("a_", "b_")).alias("d2")))
+        size *= 2
 
 
 def radius_probe(points: DataFrame, tol: float, max_n: int, samples: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -143,11 +143,30 @@ def capped_graph_strict(spark, sf):
     return cluster.capped_graph(cloud(spark, sf), TOL, MIN_SIZE, 5, strict=True)
 
 
-@query(f"with {PTS}, a as (select a.idx as i, b.idx as j, {D2} as d2 from pts a, pts b) select i, j, round(d2, 9) as d2, rank from (select *, row_number() over (partition by i order by d2, j) as rank from a) where rank <= 5")
+KNN = "a as (select a.idx as i, b.idx as j, {} as d2 from pts a, pts b) select i, j, round(d2, 9) as d2, rank from (select *, row_number() over (partition by i order by d2, j) as rank from a) where rank <= 5".format(D2)
+COARSE = "pts as (select idx, floor(x * 8) / 8 as x, floor(y * 8) / 8 as y, floor(z * 8) / 8 as z from (select vec_id as idx, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z from embeddings))"
+
+
+def coarse(spark, sf):
+    """The cloud on a grid of eighths, where many points coincide."""
+    return cloud(spark, sf).withColumns({a: F.floor(F.col(a) * 8) / 8 for a in "xyz"})
+
+
+@query(f"with {PTS}, {KNN}")
 def knn(spark, sf):
     return neighbors.knn_pairs(cloud(spark, sf), 5).select("i", "j", F.round("d2", 9).alias("d2"), "rank")
 
 
+@query(f"with {COARSE}, {KNN}")
+def knn_coincident(spark, sf):
+    return neighbors.knn_pairs(coarse(spark, sf), 5).select("i", "j", F.round("d2", 9).alias("d2"), "rank")
+
+
+@query(f"with {COARSE}, {KNN}")
+def knn_distributed(spark, sf):
+    return neighbors.knn_pairs(coarse(spark, sf), 5, strategy="distributed").select("i", "j", F.round("d2", 9).alias("d2"), "rank")
+
+
 @query(f"with recursive f as (select vec_id as idx, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z, cast(label as bigint) as frame from embeddings), prs as (select a.idx as i, b.idx as j from f a, f b where a.frame = b.frame and {D2} <= 0.01), ed as (select i, j from prs union select j, i from prs), re(i, j) as (select idx, idx from f union select re.i, ed.j from re join ed on ed.i = re.j), cl as (select i as idx, min(j) as c from re group by i), sz as (select c, count(*) as n from cl group by c) select frame, cl.idx, case when n >= 3 then cl.c end as cluster_id, case when n >= 3 then n end as cluster_size from cl join sz on sz.c = cl.c join f on f.idx = cl.idx")
 def clusters_by_frame(spark, sf):
     p = cloud(spark, sf).withColumn("frame", F.col("label").cast("long"))
@@ -186,10 +205,11 @@ def radius_probe(spark, sf):
     return r.select("searched", F.round("avg_neighbors", 9).alias("avg_neighbors"), "max_neighbors", F.round("over_rate", 9).alias("over_rate"), F.round("avg_capped", 9).alias("avg_capped"), F.col("max_capped").cast("long").alias("max_capped"))
 
 
-@query(f"with {PTS} select a.idx as i, round(min({D2}), 9) as d2 from pts a, pts b where a.idx % 7 = 0 and b.idx % 7 <> 0 group by a.idx")
+@query(f"with {PTS}, tn as (select idx, y as x, z as y, x as z from pts) select a.idx as i, round(min({D2}), 9) as d2 from pts a, tn b group by a.idx")
 def nearest_distance(spark, sf):
     p = cloud(spark, sf)
-    return neighbors.nearest_distance(p.where("idx % 7 = 0"), p.where("idx % 7 <> 0"), first=0.05).select("i", F.round("d2", 9).alias("d2"))
+    turned = p.select("idx", F.col("y").alias("x"), F.col("z").alias("y"), F.col("x").alias("z"))
+    return neighbors.nearest_distance(p, turned, first=0.02).select("i", F.round("d2", 9).alias("d2"))
 
 
 @query(f"with {FRAMES} select frame, idx, semantic, cast(floor(x / 2) as bigint) as vx, cast(floor(y / 2) as bigint) as vy, cast(floor(z / 2) as bigint) as vz from (select *, row_number() over (partition by semantic, floor(x / 2), floor(y / 2), floor(z / 2) order by frame, idx) as r from fr) where r = 1")
@@ -230,12 +250,23 @@ def cloud_stats(spark, sf):
     return fusion.cloud_stats(frames(spark, sf), {"car": [10], "tree": [70, 71], "building": [50]})
 
 
-@query(f"with {PTS}, f as (select *, idx % 6 as frame, idx // 6 as k from pts), p as (select a.frame as fa, b.frame as fb, g as gap from (select distinct frame from f) a, (select distinct frame from f) b, (values (cast(1 as bigint)), (cast(5 as bigint))) v(g) where b.frame = a.frame + g), d as (select gap, fa, a.idx, sqrt(min({D2})) as d from p join f a on a.frame = fa join f b on b.frame = fb group by gap, fa, a.idx), r as (select gap, d, row_number() over (partition by gap order by d) as r, count(*) over (partition by gap) as n from d) select gap, max(n) as n, round(max(case when r = n // 2 + 1 then d end), 9) as median, round(max(case when r = cast(floor((n - 1) * 0.9::double) as bigint) + 1 then d end), 9) as p90, round(max(case when r = cast(floor((n - 1) * 0.95::double) as bigint) + 1 then d end), 9) as p95 from r group by gap")
+MOVED = "(0.6 * x - 0.8 * y + 0.25)", "(0.8 * x + 0.6 * y)"
+
+
+@query(f"with {PTS}, f as (select 'ego' as mode, idx, idx % 6 as frame, x, y, z from pts union all select 'pose', idx, idx % 6, cast(cast(case when idx % 6 = 1 then {MOVED[0]} else x end as float) as double), cast(cast(case when idx % 6 = 1 then {MOVED[1]} else y end as float) as double), z from pts), p as (select a.frame as fa, b.frame as fb, g as gap from (select distinct frame from f) a, (select distinct frame from f) b, (values (cast(1 as bigint)), (cast(5 as bigint))) v(g) where b.frame = a.frame + g), d as (select mode, gap, fa, a.idx, sqrt(min({D2})) as d from p join f a on a.frame = fa join f b on b.frame = fb and a.mode = b.mode group by mode, gap, fa, a.idx), r as (select mode, gap, d, row_number() over (partition by mode, gap order by d) as r, count(*) over (partition by mode, gap) as n from d) select mode, gap, max(n) as n, round(max(case when r = n // 2 + 1 then d end), 9) as median, round(max(case when r = cast(floor((n - 1) * 0.9::double) as bigint) + 1 then d end), 9) as p90, round(max(case when r = cast(floor((n - 1) * 0.95::double) as bigint) + 1 then d end), 9) as p95 from r group by mode, gap".replace("select mode, gap, fa, a.idx, sqrt", "select a.mode as mode, gap, fa, a.idx, sqrt").replace("group by mode, gap, fa, a.idx)", "group by a.mode, gap, fa, a.idx)"))
 def alignment_nn(spark, sf):
     p = cloud(spark, sf).withColumn("frame", F.col("idx") % 6)
-    poses = spark.createDataFrame([(0, [float(v) for v in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0)])], "frame long, m array<double>")
+    poses = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]), (1, [0.6, -0.8, 0.0, 0.25, 0.8, 0.6, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0])], "frame long, m array<double>")
     a = fusion.alignment(p, poses, None, (1, 5), samples=1_000_000)
-    return a.where("mode = 'ego'").select(F.col("gap").cast("long").alias("gap"), "n", *(F.round(c, 9).alias(c) for c in ("median", "p90", "p95")))
+    return a.select("mode", F.col("gap").cast("long").alias("gap"), "n", *(F.round(c, 9).alias(c) for c in ("median", "p90", "p95")))
+
+
+@query(f"with {FRAMES}, sf as (select * from (values (0, 0), (0, 1), (0, 2), (1, 2), (1, 4)) v(sample, f)), p as (select sample, frame, idx as old, x, y, z, semantic from fr join sf on f = frame where semantic in (10, 50, 71) and semantic <> 71) select sample, frame, row_number() over (partition by sample order by frame, old) - 1 as idx, round(cast(cast(case when frame = 1 then x + 3 else x end as float) as double), 6) as x, round(cast(cast(case when frame = 1 then y - 1 else y end as float) as double), 6) as y, semantic from p")
+def make_sample(spark, sf):
+    chosen = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 2), (1, 4)], "sample int, frame long")
+    poses = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 3.0, 0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 1.0, 0.0])], "frame long, m array<double>")
+    out = fusion.make_sample(frames(spark, sf), chosen, (10, 50, 71), (71,), poses)
+    return out.select("sample", "frame", "idx", *(F.round(F.col(a).cast("double"), 6).alias(a) for a in "xy"), "semantic")
 
 
 @query(f"with recursive {FRAMES}, prs as (select a.idx as i, b.idx as j from fr a join fr b on a.frame = b.frame and a.y = b.y where {D2} <= 0.3 * 0.3), ed as (select i, j from prs union select j, i from prs), re(i, j) as (select idx, idx from fr union select re.i, ed.j from re join ed on ed.i = re.j), cl as (select i as idx, min(j) as c from re group by i), sz as (select c, count(*) as n from cl group by c) select frame, cl.idx, case when n >= 2 then cl.c end as cluster_id, case when n >= 2 then n end as cluster_size from cl join sz on sz.c = cl.c join fr on fr.idx = cl.idx")
@@ -248,7 +279,12 @@ def daily_clusters_distributed(spark, sf):
     return cluster.euclidean(frames(spark, sf), 0.3, 2, ("frame",), "distributed")
 
 
-@query()
+@query(
+    f"with recursive {FRAMES}, prs as (select i, j, fa as frame from (select a.idx as i, b.idx as j, a.frame as fa, row_number() over (partition by a.idx order by (b.idx <> a.idx), {D2}, b.idx) as r from fr a join fr b on a.frame = b.frame and a.y = b.y where {D2} <= 0.3 * 0.3) where r <= 8), nb as (select j, list(i) as prev from prs where i < j group by j), rk as (select frame, idx, row_number() over (partition by frame order by idx) as r from fr), "
+    "w(frame, n, seeds) as (select distinct frame, cast(0 as bigint), cast([] as bigint[]) from fr union all select w.frame, n + 1, case when list_has_any(coalesce(prev, cast([] as bigint[])), seeds) then seeds else list_append(seeds, idx) end from w join rk on rk.frame = w.frame and r = n + 1 left join nb on nb.j = idx), "
+    "sd as (select unnest(seeds) as s from (select *, row_number() over (partition by frame order by n desc) as last from w) where last = 1), st as (select i, j from prs where i in (select s from sd)), "
+    "ed as (select i, j from st union select j, i from st), re(i, j) as (select idx, idx from fr union select re.i, ed.j from re join ed on ed.i = re.j), cl as (select i as idx, min(j) as c from re group by i), sz as (select c, count(*) as n from cl group by c) select frame, cl.idx, case when n >= 2 then cl.c end as cluster_id, case when n >= 2 then n end as cluster_size from cl join sz on sz.c = cl.c join fr on fr.idx = cl.idx"
+)
 def daily_seeded_clusters(spark, sf):
     return cluster.seeded(frames(spark, sf), 0.3, 2, 8, ("frame",))
 
@@ -303,6 +339,29 @@ def greedy_match_pq(spark, sf):
     return c.select("gt", "pred", "tp", "fp", "fn", *(F.round(n, 9).alias(n) for n in ("sq", "rq", "miou")))
 
 
+@query(f"{MATCH}, be as (select *, row_number() over (partition by gt_key order by iou desc, cluster_id) as r from io), b as (select coalesce(iou, 0) as iou, coalesce(recall, 0) as rec, coalesce(prec, 0) as prec from gs left join be on be.gt_key = gs.gt_key and r = 1) select count(*) as gt, count(*) filter (iou >= 0.3) as matched_30, count(*) filter (iou >= 0.5) as matched_50, round(avg(iou), 9) as mean_iou, round(avg(rec), 9) as mean_recall, round(avg(prec), 9) as mean_precision from b")
+def frame_scores(spark, sf):
+    _, gt, pairs = matching(spark, sf)
+    return evaluate.frame_scores(evaluate.best_matches(pairs, gt)).select("gt", "matched_30", "matched_50", *(F.round(c, 9).alias(c) for c in ("mean_iou", "mean_recall", "mean_precision")))
+
+
+@query("with c as (select l_suppkey % 7 as k, l_partkey % 4 as sample, count(*) as gt, count(*) filter (l_quantity > 10) as tp, count(*) filter (l_quantity > 40) as fp, count(*) filter (l_quantity <= 10) as fn, sum(case when l_quantity > 10 then cast(l_discount as double) end) as s, sum(cast(l_tax as double)) as bs, avg(cast(l_extendedprice as double)) as ms from lineitem group by all), m as (select k, sum(gt) as gt, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(s) as s, sum(bs) as bs, avg(ms) as ms from c group by k) select k, cast(gt as bigint) as gt, cast(tp + fp as bigint) as pred, round(ms, 6) as ms, round(case when tp > 0 then s / tp else 0 end, 9) as sq, round(tp / (tp + 0.5::double * fp + 0.5::double * fn), 9) as rq, round(case when tp > 0 then s / tp else 0 end * (tp / (tp + 0.5::double * fp + 0.5::double * fn)), 9) as pq, round(tp / (tp + fn), 9) as rc50, round(bs / gt, 9) as miou from m")
+def merged_scores(spark, sf):
+    """Counts of four samples, here from lineitem, summed by key before the ratios."""
+    q = F.col("l_quantity")
+    c = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("k"), (F.col("l_partkey") % 4).alias("sample")).agg(
+        F.count("*").alias("gt"), (F.count_if(q > 10) + F.count_if(q > 40)).alias("pred"), F.count_if(q > 10).alias("tp"), F.count_if(q > 40).alias("fp"), F.count_if(q <= 10).alias("fn"),
+        F.sum(F.when(q > 10, F.col("l_discount").cast("double"))).alias("iou_sum"), F.sum(F.col("l_tax").cast("double")).alias("best_iou_sum"), F.avg(F.col("l_extendedprice").cast("double")).alias("ms"),
+    )
+    m = evaluate.merged(c, ("k",), "ms")
+    return m.select("k", "gt", "pred", F.round("ms", 6).alias("ms"), *(F.round(n, 9).alias(n) for n in ("sq", "rq", "pq", "rc50", "miou")))
+
+
+@query("with p as (select vec_id as idx, (cast(label as bigint) * 65536 + vec_id % 30) & 65535 as semantic from embeddings) select idx, semantic from p where semantic in (3, 10, 25)")
+def semantic_set(spark, sf):
+    return labels.only(labels.unpack(packed(spark, sf), "packed"), (3, 10, 25)).select("idx", "semantic")
+
+
 BOX = f"{PTS}, bx as (select s_suppkey as box, (s_suppkey * 37 % 41) - 20.0 as x, 2.0 as y, (s_suppkey * 53 % 43) - 21.0 as z, 6.0 as h, 4.0 + s_suppkey % 5 as w, 3.0 + s_suppkey % 7 as l, (s_suppkey % 7) * 0.4::double as ry from supplier), cp as (select idx, x * 60 as x, y * 6 as y, z * 60 as z from pts), hit as (select idx, box from cp, bx where abs(cos(ry) * (cp.x - bx.x) - sin(ry) * (cp.z - bx.z)) <= w / 2 and abs(sin(ry) * (cp.x - bx.x) + cos(ry) * (cp.z - bx.z)) <= l / 2 and cp.y <= bx.y and cp.y >= bx.y - h)"
 
 
@@ -417,14 +476,12 @@ def frame_range(spark, sf):
     return sampling.frame_range(frame_list(spark, sf), start=2, limit=7)
 
 
-@query(f"with {PTS} select idx, round(cast(case when idx % 3 = 0 then 0.6 * x - 0.8 * y + 0.1 + 1.5 else x + 0.1 end as double), 6) as x, round(cast(case when idx % 3 = 0 then 0.8 * x + 0.6 * y + 0.08 - 2 else y end as double), 6) as y, round(z, 6) as z from (select idx, x, y, z from pts)".replace("0.6 * x - 0.8 * y + 0.1 + 1.5", "0.6 * (x + 0.1) - 0.8 * y + 1.5").replace("0.8 * x + 0.6 * y + 0.08 - 2", "0.8 * (x + 0.1) + 0.6 * y - 2"))
+@query(f"with {PTS} select idx, round(cast(cast(case when idx % 3 = 0 then 0.6::double * (x + 0.1::double) - 0.8::double * y + 1.5::double else x + 0.1::double end as float) as double), 5) as x, round(cast(cast(case when idx % 3 = 0 then 0.8::double * (x + 0.1::double) + 0.6::double * y - 2 else y end as float) as double), 5) as y, round(z, 5) as z from pts")
 def pose_transform(spark, sf):
     poses = spark.createDataFrame([(0, [0.6, -0.8, 0.0, 1.5, 0.8, 0.6, 0.0, -2.0, 0.0, 0.0, 1.0, 0.0])], "frame long, m array<double>")
     p = cloud(spark, sf).withColumn("frame", F.col("idx") % 3)
-    both = poses.withColumn("t", F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.1, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)))).withColumn("m", geometry.matrix_product("m", "t"))
-    base = F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.1, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)))
-    met = p.join(both.select("frame", "m"), "frame", "left").withColumn("m", F.coalesce("m", base))
-    return geometry.transform(met, "m", "double").select("idx", *(F.round(a, 6).alias(a) for a in "xyz"))
+    moved = geometry.apply_poses(p, poses, (1, 0, 0, 0.1, 0, 1, 0, 0, 0, 0, 1, 0))
+    return moved.select("idx", *(F.round(F.col(a).cast("double"), 5).alias(a) for a in "xyz"))
 
 
 @query(f"with {PTS} select idx, round(-y, 9) as x, round(-z - 0.08, 9) as y, round(x - 0.27, 9) as z from pts")

@@ -152,7 +152,28 @@ def test_region_growing_separates_two_planes(spark):
 
 def test_nearest_distance_beyond_the_first_radius(spark):
     q, p = line(spark, [0.0, 50.0]), line(spark, [3.0, 1000.0])
-    assert sorted((r.i, r.d2) for r in neighbors.nearest_distance(q, p, first=0.5, rounds=3).collect()) == [(0, 9.0), (1, 47.0**2)]
+    assert sorted((r.i, r.d2) for r in neighbors.nearest_distance(q, p, first=0.5).collect()) == [(0, 9.0), (1, 47.0**2)]
+
+
+def test_nearest_distance_by_key_without_points(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "seq string, idx long, x double, y double, z double")
+    q, p = rows(("a", 0, 0.0, 0.0, 0.0), ("b", 1, 0.0, 0.0, 0.0), ("c", 2, 1e6, 0.0, 0.0)), rows(("a", 0, 0.0, 3.0, 4.0), ("c", 1, 0.0, 0.0, 0.0), ("a", 2, None, 0.0, 0.0))
+    assert sorted((r.seq, r.i, r.d2) for r in neighbors.nearest_distance(q, p, ("seq",)).collect()) == [("a", 0, 25.0), ("c", 2, 1e12)]
+    assert neighbors.nearest_distance(q, p.limit(0), ("seq",)).count() == 0
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_knn_of_coincident_and_distant_points(spark, offset):
+    rng = np.random.default_rng(21)
+    xyz = np.concatenate([rng.random((140, 3)), np.full((60, 3), 0.5)]) + offset
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)
+    want = [[(j, d2[i, j]) for j in np.lexsort((np.arange(200), d2[i]))[:5]] for i in range(200)]
+    near, dist = kernels.knn(xyz, 5)
+    assert [list(zip(a, b)) for a, b in zip(near.tolist(), dist.tolist())] == want
+    assert kernels.knn(xyz[:2], 5)[0].tolist() == [[0, 1], [1, 0]] and kernels.knn(xyz[:0], 5)[0].shape == (0, 0)
+    p = spark.createDataFrame([("a", i, *map(float, v)) for i, v in enumerate(xyz[60:])] + [("b", 1, 0.0, 0.0, 0.0), ("b", 2, 9.0, 0.0, 0.0)], "seq string, idx long, x double, y double, z double")
+    one, many = (sorted(map(tuple, neighbors.knn_pairs(p, 5, ("seq",), strategy).collect())) for strategy in ("kernel", "distributed"))
+    assert one == many and len(one) == 140 * 5 + 4
 
 
 def test_bad_parameters(spark):

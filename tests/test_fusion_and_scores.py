@@ -33,6 +33,13 @@ def test_decisions_against_a_walk(spark):
         assert got == by_hand(rows, 0.3, radius)
 
 
+def test_a_crowded_voxel_makes_no_pairs(spark):
+    random.seed(18)
+    rows = [(0, i, random.uniform(0, 2.9), random.uniform(0, 2.9), 0.0, 1) for i in range(300)]
+    got = [r.status for r in fusion.decide(spark.createDataFrame(rows, P), 3.0, 0.05).orderBy("seq_no").collect()]
+    assert got == by_hand(rows, 3.0, 0.05) and {"density", "ghost"} & set(got)
+
+
 def test_stop_in_the_middle_of_a_frame(spark):
     rows = [(0, 0, 0.0, 0.0, 0.0, 1), (0, 1, 0.1, 0.0, 0.0, 1), (1, 0, 5.0, 0.0, 0.0, 1), (1, 1, 9.0, 0.0, 0.0, 1), (1, 2, 13.0, 0.0, 0.0, 1)]
     p = spark.createDataFrame(rows, P)

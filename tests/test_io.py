@@ -77,8 +77,28 @@ def test_manifest_and_sinks(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first().b == "0.500000"
     pts = spark.createDataFrame([(i, float(i), 0.0, 0.0, 1, 2, 3) for i in range(10)], "idx long, x double, y double, z double, r int, g int, b int")
-    assert sinks.svg(pts, "t", most=4).count("<circle") == 5
-    assert "<canvas" in sinks.preview_html(pts, "t")
+    drawn = sinks.svg(pts, "a < b", columns=5)
+    assert drawn.count("<path") == 5 and "a &lt; b" in drawn and drawn.count("#010203") == 5
+    assert sinks.svg(pts.limit(0), "t").count("<path") == 0 and sinks.svg(pts.limit(1), "t").count("<path") == 1
+    assert "<canvas" in sinks.preview_html(pts, "t") and len(sinks._sample(pts, 4)) == 4
+
+
+def test_single_files_and_paths(spark, tmp_path):
+    frame(tmp_path, "00", 3, [[1, 2, 3, 0.5], [4, 5, 6, 0.1]], [(7 << 16) | 10, (65535 << 16) | 22])
+    root = str(tmp_path / "sequences" / "00")
+    got = lidar.read_points(spark, f"{root}/velodyne").orderBy("idx").collect()
+    assert [(r.seq, r.frame, r.idx, r.x, r.z) for r in got] == [("00", 3, 0, 1.0, 3.0), ("00", 3, 1, 4.0, 6.0)]
+    marks = lidar.read_labels(spark, f"{root}/labels").orderBy("idx").collect()
+    assert [r.label for r in marks] == [(7 << 16) | 10, (65535 << 16) | 22]
+    (tmp_path / "sequences/00/velodyne/000004.bin").write_bytes(b"\x00" * 17)
+    assert lidar.read_points(spark, f"{root}/velodyne", strict=False).where("frame = 4").count() == 1
+    with pytest.raises(PySparkException):
+        lidar.read_points(spark, f"{root}/velodyne").collect()
+    (tmp_path / "c.csv").write_text("x,y,z,r,g,b\n1.5,2,3,4,5,6\n")
+    assert tuple(lidar.read_coloured(spark, str(tmp_path / "c.csv")).first()) == (1.5, 2.0, 3.0, 4, 5, 6)
+    assert lidar.resolve_path("/else/where/c.csv", str(tmp_path)) == str(tmp_path / "c.csv")
+    with pytest.raises(FileNotFoundError):
+        lidar.resolve_path("none.csv", str(tmp_path))
 
 
 def test_texts():
