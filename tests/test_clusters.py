@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from pointloom import graph
 from pointloom.operators import cluster, kernels, neighbors
 from pointloom.operators.cluster import cluster as run
 
@@ -181,3 +182,27 @@ def test_bad_parameters(spark):
         neighbors.radius_pairs(line(spark, [0]), 1.0, max_n=-1)
     with pytest.raises(ValueError):
         neighbors.radius_pairs(line(spark, [0]), 0.0)
+
+
+@pytest.mark.parametrize("one_task, many", [(100_000, 1_000_000), (0, 1_000_000), (0, 10)])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, one_task, many):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    monkeypatch.setattr(graph, "MANY", many)
+    random.seed(22)
+    pairs = [(random.randrange(200), random.randrange(200)) for _ in range(90)] + [(500, k) for k in range(300, 420)] + [(k, k + 1) for k in range(600, 640)] + [(7, 7), (None, 3)]
+    low = {}
+    for a, b in pairs:
+        if a is not None and a != b:
+            low.setdefault(a, a), low.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if a is not None and a != b and low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    assert {r.node: r.component for r in graph.connected_components(edges).collect()} == low
+    named = edges.selectExpr("named_struct('k', 'x', 'idx', src) as src", "named_struct('k', 'x', 'idx', dst) as dst").where("src.idx is not null")
+    assert {r.node.idx: r.component.idx for r in graph.connected_components(named).collect()} == low
+    assert graph.connected_components(edges.limit(0)).count() == 0
