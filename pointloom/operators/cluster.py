@@ -233,13 +233,45 @@ def cluster(points: DataFrame, method: str, **options) -> DataFrame:
 
 
 def seed_profile(points: DataFrame, tol: float, max_n: int = 0, min_size: int = 1, keys: Sequence[str] = ()) -> DataFrame:
-    """Per key: searches made, neighbours returned (all, mean, most), searches that reached the cap, clusters and clustered points."""
+    """Per key: searches made, neighbours returned (all, mean, most), searches that reached the cap, clusters and clustered points, and how often a walk that labels points would rename a label.
+
+    A search whose points carry no label yet opens one, and each renaming makes one label fewer, so there are as many as labels opened beyond the final ones; a renaming visits every point.
+    """
     stars = cut(seed_stars(points, tol, keys, max_n))
-    per_seed = stars.groupBy(*keys, "i").agg(F.count("*").alias("n"))
+    first = stars.groupBy(*keys, "j").agg(F.min("i").alias("first"))
+    per_seed = stars.join(first, [*keys, "j"]).groupBy(*keys, "i").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     full = F.col("n") >= max_n if max_n else F.lit(False)
-    calls = per_seed.groupBy(*keys).agg(F.count("*").alias("search_calls"), F.sum("n").alias("total_neighbors_returned"), F.avg("n").alias("avg_neighbors_returned"), F.max("n").alias("max_neighbors_returned"), F.count_if(full).alias("saturation_count"), F.avg(full.cast("double")).alias("saturation_rate"))
-    made = emit(points, keys, _named(stars, points, keys), min_size).where("cluster_id is not null").groupBy(*keys).agg(F.countDistinct("cluster_id").alias("clusters"), F.count("*").alias("clustered_points"))
-    return calls.join(made, list(keys), "left") if keys else calls.join(F.broadcast(made))
+    calls = per_seed.groupBy(*keys).agg(F.count("*").alias("search_calls"), F.sum("n").alias("total_neighbors_returned"), F.avg("n").alias("avg_neighbors_returned"), F.max("n").alias("max_neighbors_returned"), F.count_if(full).alias("saturation_count"), F.avg(full.cast("double")).alias("saturation_rate"), F.count_if(F.col("first") == F.col("i")).alias("_opened"))
+    named = cut(_named(stars, points, keys))
+    final = named.groupBy(*keys).agg(F.countDistinct("cluster_id").alias("_final"), F.count("*").alias("_points"))
+    made = emit(points, keys, named, min_size).where("cluster_id is not null").groupBy(*keys).agg(F.countDistinct("cluster_id").alias("clusters"), F.count("*").alias("clustered_points"))
+    if keys:
+        out = calls.join(final, list(keys)).join(made, list(keys), "left")
+    else:
+        out = calls.join(F.broadcast(final)).join(F.broadcast(made))  # single rows
+    renamed = F.col("_opened") - F.col("_final")
+    return out.withColumns({"relabel_trigger_count": renamed, "relabel_point_visits": renamed * F.col("_points")}).drop("_opened", "_final", "_points")
+
+
+def stage_times(points: DataFrame, tol: float, min_size: int = 1, max_n: int = 0, keys: Sequence[str] = (), repeats: int = 1) -> DataFrame:
+    """(keys, run, points, clusters, clustered_points, build_ms, search_ms, merge_ms, final_ms, total_ms): the seeded clustering of each cloud timed stage by stage within its task. Clouds of more than KERNEL_POINTS are an error, since their stages are spread over many tasks."""
+    prepare(points.sparkSession)
+    if _largest(points, keys) > KERNEL_POINTS:
+        raise ValueError(f"a cloud has more than {KERNEL_POINTS} points")
+    stages = ("build_ms", "search_ms", "merge_ms", "final_ms")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx", kind="stable")
+        xyz, out = rows[list(AXES)].to_numpy(np.float64), []
+        for k in range(repeats):
+            found, ms = kernels.staged_cloud(xyz, tol, max_n, min_size)
+            kept = found[found >= 0]
+            out.append({**{c: rows[c].iloc[0] for c in keys}, "run": k, "points": len(xyz), "clusters": len(np.unique(kept)), "clustered_points": len(kept), **ms, "total_ms": sum(ms.values())})
+        return pd.DataFrame(out)
+
+    types = [f"`{c}` {points.schema[c].dataType.simpleString()}" for c in keys]
+    schema = ", ".join([*types, "run int", "points long", "clusters long", "clustered_points long", *(f"{s} double" for s in (*stages, "total_ms"))])
+    return finite(points).select(*keys, "idx", *(F.col(a).cast("double").alias(a) for a in AXES)).groupBy(*keys).applyInPandas(run, schema)
 
 
 def noise(points: DataFrame, clusters: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

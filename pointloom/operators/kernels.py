@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 
 
@@ -22,8 +24,18 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def half_pairs(xyz: np.ndarray, tol: float, strict: bool = False, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, d2, cells) of each unordered pair of different points within tol, once; cells are the points' grid cells.
+def grid(xyz: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, numbers along each axis, sorted cell codes, order of the points) of a grid with cells of the size tol."""
+    c = np.floor(xyz / tol).astype(np.int64)
+    shifted = c - c.min(axis=0) + 1
+    span = shifted.max(axis=0) + 2
+    code = (shifted[:, 0] * span[1] + shifted[:, 1]) * span[2] + shifted[:, 2]
+    order = np.argsort(code, kind="stable")
+    return c, span, code[order], order
+
+
+def half_pairs(xyz: np.ndarray, tol: float, strict: bool = False, chunk: int = 4_000_000, built: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d2, cells) of each unordered pair of different points within tol, once; cells are the points' grid cells. built: grid(xyz, tol), if it is there.
 
     Points are sorted by cell; cells along z are neighbours in that order, so five ranges cover half of the 27 cells.
     """
@@ -31,12 +43,7 @@ def half_pairs(xyz: np.ndarray, tol: float, strict: bool = False, chunk: int = 4
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0), np.zeros((0, 3), np.int64)
-    c = np.floor(xyz / tol).astype(np.int64)
-    shifted = c - c.min(axis=0) + 1
-    span = shifted.max(axis=0) + 2
-    code = (shifted[:, 0] * span[1] + shifted[:, 1]) * span[2] + shifted[:, 2]
-    order = np.argsort(code, kind="stable")
-    code = code[order]
+    c, span, code, order = built or grid(xyz, tol)
     x, y, z = (np.ascontiguousarray(xyz[order, k]) for k in range(3))
     here, limit = np.arange(n), tol * tol
     out: list[tuple[np.ndarray, ...]] = []
@@ -64,9 +71,9 @@ def half_pairs(xyz: np.ndarray, tol: float, strict: bool = False, chunk: int = 4
     return a, b, d2, c
 
 
-def directed_pairs(xyz: np.ndarray, tol: float, strict: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def directed_pairs(xyz: np.ndarray, tol: float, strict: bool = False, built: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, d2, k) within tol, i = j included; k numbers j's cell as seen from i's, from (-1, -1, -1) up."""
-    a, b, d2, c = half_pairs(xyz, tol, strict)
+    a, b, d2, c = half_pairs(xyz, tol, strict, built=built)
     own = np.arange(len(xyz))
     i, j = np.concatenate([a, b, own]), np.concatenate([b, a, own])
     step = c[j] - c[i] + 1
@@ -119,6 +126,21 @@ def cluster_cloud(xyz: np.ndarray, tol: float, method: str, max_n: int = 0, stri
     return seeded_labels(len(xyz), i, j)[0]
 
 
+def staged_cloud(xyz: np.ndarray, tol: float, max_n: int = 0, min_size: int = 1) -> tuple[np.ndarray, dict[str, float]]:
+    """(cluster of each point, -1 below min_size; milliseconds) of a seeded clustering in stages: build (the grid), search (capped neighbours), merge (the walk and its components), final (sizes)."""
+    marks = [time.perf_counter()]
+    built = grid(xyz, tol) if len(xyz) else None
+    marks.append(time.perf_counter())
+    i, j = capped(*directed_pairs(xyz, tol, built=built), max_n, "nearest")
+    marks.append(time.perf_counter())
+    found, _ = seeded_labels(len(xyz), i, j)
+    marks.append(time.perf_counter())
+    sizes = np.bincount(found, minlength=len(xyz))
+    found = np.where(sizes[found] >= min_size, found, -1)
+    marks.append(time.perf_counter())
+    return found, {n: (b - a) * 1000 for n, a, b in zip(("build_ms", "search_ms", "merge_ms", "final_ms"), marks, marks[1:], strict=False)}
+
+
 def knn(xyz: np.ndarray, k: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """(indices, squared distances) of the k nearest points, itself included, by (distance, index).
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import geometry, labels, stats, text
 from pointloom.operators import boxes, cluster, evaluate, fusion, neighbors, sampling
 from pointloom.operators.ground import cloth_ground
+from pointloom.plans import experiments
 from pointloom.session import prepare, table
 
 TOL, MIN_SIZE = 0.05, 5
@@ -192,7 +193,7 @@ def noise_points(spark, sf):
     return cluster.noise(p, cluster.euclidean(p, TOL, MIN_SIZE)).select("idx")
 
 
-@query(f"with recursive {PTS}, {ALL}, {capped_sql(4)}, {SEEDS}, per as (select i, count(*) as n from st group by i), {clusters_sql('st')} select (select count(*) from per) as search_calls, cast((select sum(n) from per) as bigint) as total_neighbors_returned, (select round(avg(n), 9) from per) as avg_neighbors_returned, (select max(n) from per) as max_neighbors_returned, (select count(*) from per where n >= 4) as saturation_count, (select round(avg(case when n >= 4 then 1.0 else 0.0 end), 9) from per) as saturation_rate, (select count(*) from sz where n >= {MIN_SIZE}) as clusters, cast((select sum(n) from sz where n >= {MIN_SIZE}) as bigint) as clustered_points")
+@query(f"with recursive {PTS}, {ALL}, {capped_sql(4)}, {SEEDS}, per as (select i, count(*) as n from st group by i), {clusters_sql('st')}, fo as (select j, min(i) as f from st group by j), opn as (select count(*) - (select count(*) from sz) as r from (select st.i, min(f) as f from st join fo on fo.j = st.j group by st.i) where f = i) select (select r from opn) as relabel_trigger_count, (select r from opn) * (select count(*) from pts) as relabel_point_visits, (select count(*) from per) as search_calls, cast((select sum(n) from per) as bigint) as total_neighbors_returned, (select round(avg(n), 9) from per) as avg_neighbors_returned, (select max(n) from per) as max_neighbors_returned, (select count(*) from per where n >= 4) as saturation_count, (select round(avg(case when n >= 4 then 1.0 else 0.0 end), 9) from per) as saturation_rate, (select count(*) from sz where n >= {MIN_SIZE}) as clusters, cast((select sum(n) from sz where n >= {MIN_SIZE}) as bigint) as clustered_points")
 def seed_profile(spark, sf):
     p = cluster.seed_profile(cloud(spark, sf), TOL, 4, MIN_SIZE)
     return p.withColumns({c: F.round(c, 9) for c in ("avg_neighbors_returned", "saturation_rate")})
@@ -362,6 +363,15 @@ def semantic_set(spark, sf):
     return labels.only(labels.unpack(packed(spark, sf), "packed"), (3, 10, 25)).select("idx", "semantic")
 
 
+@query("with t as (select l_returnflag as mode, cast(l_extendedprice as double) as t0, cast(l_quantity as double) as t50, cast(l_tax as double) as s0, cast(l_discount as double) as s50 from lineitem) select mode, count(*) as count, round(avg(t0), 6) as avg_total_ms_0, round(avg(t50), 6) as avg_total_ms_50, round(avg(s0), 9) as avg_search_ms_0, round(avg(s50), 9) as avg_search_ms_50, round(avg(t50) - avg(t0), 6) as avg_delta_total_ms_50_minus_0, round(avg(s50) - avg(s0), 9) as avg_delta_search_ms_50_minus_0 from t group by mode")
+def mode_means(spark, sf):
+    """Means by mode of two caps side by side, here of lineitem's columns by return flag."""
+    named = {"total_ms_0": "l_extendedprice", "total_ms_50": "l_quantity", "search_ms_0": "l_tax", "search_ms_50": "l_discount"}
+    t = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("mode"), *(F.col(c).cast("double").alias(n) for n, c in named.items()))
+    m = experiments.mode_means(t, ("total_ms", "search_ms"))
+    return m.select("mode", "count", *(F.round(c, 6 if "total" in c else 9).alias(c) for c in m.columns[2:]))
+
+
 BOX = f"{PTS}, bx as (select s_suppkey as box, (s_suppkey * 37 % 41) - 20.0 as x, 2.0 as y, (s_suppkey * 53 % 43) - 21.0 as z, 6.0 as h, 4.0 + s_suppkey % 5 as w, 3.0 + s_suppkey % 7 as l, (s_suppkey % 7) * 0.4::double as ry from supplier), cp as (select idx, x * 60 as x, y * 6 as y, z * 60 as z from pts), hit as (select idx, box from cp, bx where abs(cos(ry) * (cp.x - bx.x) - sin(ry) * (cp.z - bx.z)) <= w / 2 and abs(sin(ry) * (cp.x - bx.x) + cos(ry) * (cp.z - bx.z)) <= l / 2 and cp.y <= bx.y and cp.y >= bx.y - h)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import geometry, labels, stats
 from pointloom.operators import boxes, evaluate, fusion
-from pointloom.operators.cluster import cluster, seed_profile
+from pointloom.operators.cluster import cluster, seed_profile, stage_times
 from pointloom.operators.ground import cloth_ground, off_ground
 from pointloom.operators.neighbors import radius_probe
 from pointloom.session import cut
@@ -85,6 +85,26 @@ def compare_caps(table: DataFrame, caps: Sequence[int] = (0, 50)) -> DataFrame:
     return table.groupBy("dataset", "method", "tol").pivot("max_n", list(caps)).agg(F.first("ms").alias("ms"), F.first("clusters").alias("clusters"))
 
 
+def mode_means(table: DataFrame, columns: Sequence[str] = ("total_ms", "search_ms", "search_calls"), caps: Sequence[int] = (0, 50), by: Sequence[str] = ("mode",)) -> DataFrame:
+    """Per mode: rows, the mean of each column at either cap (named column_cap), and the second less the first."""
+    a, b = caps
+    means = table.groupBy(*by).agg(F.count("*").alias("count"), *(F.avg(f"{c}_{k}").alias(f"avg_{c}_{k}") for c in columns for k in caps))
+    return means.withColumns({f"avg_delta_{c}_{b}_minus_{a}": F.col(f"avg_{c}_{b}") - F.col(f"avg_{c}_{a}") for c in columns})
+
+
+def stage_table(points: DataFrame, tolerances: Iterable[float], caps: Sequence[int] = (0, 50), min_size: int = 100, repeats: int = 7, keys: Sequence[str] = ("seq", "frame")) -> DataFrame:
+    """Per cloud, tolerance and cap: the median time of each stage over the runs, frames a second, clusters, and the counters of the searches."""
+    points, out = cut(points), None
+    stages = ("build_ms", "search_ms", "merge_ms", "final_ms", "total_ms")
+    for tol in tolerances:
+        for cap in caps:
+            runs = stage_times(points, tol, min_size, cap, keys, repeats)
+            times = runs.groupBy(*keys).agg(F.max("points").alias("points"), *(F.median(s).alias(s) for s in stages))
+            both = times.join(seed_profile(points, tol, cap, min_size, keys), list(keys)).withColumns({"tol": F.lit(float(tol)), "max_n": F.lit(cap), "fps": stats.fps("total_ms"), "avg_search_ms": F.col("search_ms") / F.col("search_calls")})
+            out = both if out is None else out.unionByName(both)
+    return out
+
+
 def evaluate_frames(frames: DataFrame, method: str = "seeded", ground: Sequence[int] = (), classes: Sequence[int] = (), min_gt: int = 30, keys: Sequence[str] = ("seq", "frame"), **options) -> dict[str, DataFrame]:
     """frames: keys, idx, x, y, z, label. Ground is removed by label, points are clustered per frame and scored against instances of at least min_gt points: best overlaps, per-frame means, and panoptic counts per frame and overall."""
     p = labels.without(labels.unpack(frames), ground) if ground else labels.unpack(frames)

@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom import graph
 from pointloom.operators import cluster, kernels, neighbors
 from pointloom.operators.cluster import cluster as run
+from pointloom.plans import experiments
 
 SCHEMA = "idx long, x double, y double, z double"
 
@@ -206,3 +208,44 @@ def test_components_by_one_task_and_by_rounds(spark, monkeypatch, one_task, many
     named = edges.selectExpr("named_struct('k', 'x', 'idx', src) as src", "named_struct('k', 'x', 'idx', dst) as dst").where("src.idx is not null")
     assert {r.node.idx: r.component.idx for r in graph.connected_components(named).collect()} == low
     assert graph.connected_components(edges.limit(0)).count() == 0
+
+
+def renamings(xyz, tol, max_n):
+    """Of a walk that labels points: how often a label is replaced in the whole cloud."""
+    n = len(xyz)
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)
+    label, fresh, count = [0] * n, 1, 0
+    for p in range(n):
+        if label[p]:
+            continue
+        near = [j for j in np.lexsort((np.arange(n), d2[p], np.arange(n) != p)) if d2[p, j] <= tol * tol][: max_n or n]
+        low = min([label[j] for j in near if label[j]], default=fresh)
+        fresh += low == fresh
+        for j in near:
+            if label[j] > low:
+                count += 1
+                label = [low if x == label[j] else x for x in label]
+            label[j] = low
+    return count
+
+
+@pytest.mark.parametrize("max_n", [0, 4])
+def test_renamings_against_a_walk(spark, max_n):
+    rng = np.random.default_rng(23)
+    xyz = rng.random((150, 3)) * [3, 3, 0.1]
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(xyz)], SCHEMA)
+    r = cluster.seed_profile(p, 0.4, max_n).first()
+    assert r.relabel_trigger_count == renamings(xyz, 0.4, max_n) > 0
+    assert r.relabel_point_visits == r.relabel_trigger_count * 150
+
+
+def test_stage_times(spark):
+    rng = np.random.default_rng(24)
+    p = spark.createDataFrame([("a" if i % 3 else "b", i, *map(float, v)) for i, v in enumerate(rng.random((120, 3)))], "frame string, " + SCHEMA)
+    got = cluster.stage_times(p, 0.2, 2, 8, ("frame",), 3).collect()
+    found = {r.frame: r for r in run(p, "seeded", tol=0.2, min_size=2, max_n=8, keys=("frame",)).where("cluster_id is not null").groupBy("frame").agg(F.countDistinct("cluster_id").alias("c"), F.count("*").alias("n")).collect()}
+    assert sorted((r.frame, r.run) for r in got) == [(f, k) for f in "ab" for k in range(3)]
+    assert all((r.clusters, r.clustered_points) == (found[r.frame].c, found[r.frame].n) for r in got)
+    assert all(r.total_ms == pytest.approx(r.build_ms + r.search_ms + r.merge_ms + r.final_ms) and r.total_ms > 0 for r in got)
+    t = experiments.stage_table(p, (0.2,), (0, 8), 2, 2, ("frame",))
+    assert t.count() == 4 and {"avg_search_ms", "relabel_point_visits", "fps", "merge_ms"} <= set(t.columns)
