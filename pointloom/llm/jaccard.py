@@ -16,7 +16,7 @@ from pointloom.graph import connected_components
 from pointloom.llm.arrow import slices
 from pointloom.llm.bitfilter import BitFilter
 from pointloom.llm.decontaminate import WordHashes, gram_hashes, hash_words, words_of
-from pointloom.session import ROW, cut, numbered, prepare, table
+from pointloom.session import ROW, cut, prepare, table
 
 SHINGLE = 5
 #: Similarity from which documents are linked, as a fraction.
@@ -27,6 +27,8 @@ BANDS, ROWS = 32, 6
 STEPS, TOLERANCE = (32, 64, 128, 192), 1e-7
 #: Classes and shingles of one tile side, about; larger groups are dealt over several tiles, smaller ones share lanes.
 TILE_ROWS, TILE_SHINGLES, LANE_SHINGLES = 1024, 1_000_000, 200_000
+#: A character that stands in a word.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -195,7 +197,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Two rows are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8; n_links counts the other linked rows, class_id is the smallest doc_id reachable by links. Words as in decontamination; a text of 1 to 4 words is one shingle; a null text or one without words links with nothing, not even with its like, and is its own class. Repeated rows are rows of their own; a null doc_id is never the smallest unless all are null. Extra columns are ignored.
     Rows with equal sets become one weighted class first. Classes that share a MinHash band join a candidate group (connected components over bands); only these send their shingles on. Groups are compared within tiles of bounded size, a larger group in several, so no group meets in one task and no pair becomes a row.
     """
-    base = docs.select(F.lit(None).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.lit(None).cast("string").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches, weights, found, groups = _groups(base)
     links = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     least = groups.join(weights, "key").groupBy("component").agg(F.min("rep").alias("least"))
@@ -207,7 +209,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 def _groups(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of (row, doc_id, text): the sketches, the weights of their keys, what the tiles found, and (key, component) of linked keys."""
-    sketches = cut(base.mapInArrow(_sketch, "row long, doc_id long, key binary, k long, bands array<long>"))
+    sketches = cut(base.mapInArrow(_sketch, "row string, doc_id long, key binary, k long, bands array<long>"))
     known = sketches.where("key is not null")
     bands = known.select("key", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
@@ -235,14 +237,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each class of similar_documents() the row with the smallest doc_id, one without an id only where no row of the class has one; of rows with the same id the first. Rows without words stay."""
-    rows = numbered(docs)
+    """Of each class of similar_documents() the row with the smallest doc_id, one without an id only where no row of the class has one; of rows with the same id one of least hash. Rows without words stay.
+
+    Rows are named by 128 bits of hashes of doc_id and text; of rows that agree in both any one is as good.
+    """
+    worded = F.coalesce(F.col("text").cast("string").rlike(_WORD), F.lit(False))
+    name = F.concat(*(F.hex(F.xxhash64(F.lit(k), F.col("doc_id").isNull(), "doc_id", "text")) for k in (1, 2)))
+    rows = docs.where(worded).withColumn(ROW, name)
     sketches, _, _, groups = _groups(rows.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    firsts = sketches.where("key is not null").groupBy("key").agg(first.alias("first"))
+    firsts = sketches.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
     firsts = firsts.join(groups, "key", "left").groupBy(F.coalesce("component", "key").alias("class")).agg(F.min("first").alias("first"))
-    kept = firsts.select(F.col("first.row").alias(ROW)).unionByName(sketches.where("key is null").select(F.col("row").alias(ROW)))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    kept = rows.join(firsts.select(F.col("first.row").alias(ROW)), ROW, "left_semi").dropDuplicates([ROW])
+    return kept.select(*docs.columns).unionByName(docs.where(~worded))
 
 
 ORACLE = """
