@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -27,9 +29,29 @@ def test_places_never_overlap_and_leave_no_gap(lengths):
 
 
 def test_the_rule_chooses_the_least_sum_of_squares():
-    # open gaps 6, 6 and 5; a piece of 3 leaves gap 3 from 6 (2 + 1 squares) or gap 2 from 5
-    bins, _ = packing.place(np.array([5, 4, 4, 3]), 10)
-    assert bins.tolist()[3] in (bins.tolist()[1], bins.tolist()[2])
+    """Each step against an enumeration of all open gaps."""
+    rng, choices = np.random.default_rng(31), 0
+    for _ in range(60):
+        capacity = int(rng.integers(8, 40))
+        lengths = rng.integers(1, capacity, int(rng.integers(1, 60)))
+        bins, offsets = packing.place(lengths, capacity)
+        gaps: dict[int, int] = {}
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            s, chosen = int(lengths[i]), int(bins[i])
+            fits = [b for b, g in gaps.items() if g >= s]
+
+            def squares(b, s=s):
+                after = Counter(g - s * (k == b) for k, g in gaps.items())
+                return sum(n * n for g, n in after.items() if g)
+
+            if fits:
+                assert chosen in fits and squares(chosen) == min(map(squares, fits))
+                assert offsets[i] == capacity - gaps[chosen]
+                choices += len({squares(b) for b in fits}) > 1
+            else:
+                assert chosen == len(gaps) and offsets[i] == 0
+            gaps[chosen] = gaps.get(chosen, capacity) - s
+    assert choices > 100
 
 
 def test_ids_of_runs_equal_those_of_whole_texts():
