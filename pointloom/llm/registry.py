@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pointloom.llm import chat, decontaminate, jaccard, packing, quality, scoring, substrings, toxicity, urls, vectors
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_sum_of_squares_packing": packing.query,
     "op2_hidden_markov_scores": scoring.query,
     "op3_winnowing_decontamination": decontaminate.query,
