@@ -23,12 +23,14 @@ _shipped: set[str] = set()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineages: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
+    """The shared folder for cut lineages: ``spark.checkpoint.dir``; a new local one where it is unset and all runs on this machine, as in tests."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
         folder = sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="pointloom-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
