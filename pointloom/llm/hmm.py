@@ -64,41 +64,44 @@ class Counts:
         if not len(seq):
             return
         obs, active, begin, _ = _by_time(seq, lengths)
-        move, start = chain.move.astype(np.float32), chain.start.astype(np.float32)
-        back = np.ascontiguousarray(move.T)
-        e = chain.emit.astype(np.float32)[obs]
+        obs = obs.astype(np.intp)
+        # one row a state, so that sums over states and products by them run along contiguous texts
+        move, start = np.ascontiguousarray(chain.move.T, np.float32), chain.start.astype(np.float32)[:, None]
+        back = np.ascontiguousarray(chain.move, np.float32)
+        e = np.empty((len(start), len(obs)), dtype=np.float32)
+        for row, of_class in zip(e, np.ascontiguousarray(chain.emit.T, np.float32), strict=True):
+            of_class.take(obs, out=row, mode="clip")
         alpha = np.empty_like(e)
-        scale = np.empty((len(obs), 1), dtype=np.float32)
+        scale = np.empty(len(obs), dtype=np.float32)
         steps, begins = active.tolist(), begin.tolist()
         last = None
         for n, at in zip(steps, begins, strict=False):
-            a, c, now = alpha[at : at + n], scale[at : at + n], e[at : at + n]
+            a, c, now = alpha[:, at : at + n], scale[at : at + n], e[:, at : at + n]
             if last is None:
                 np.multiply(now, start, out=a)
             else:
-                np.matmul(last[:n], move, out=a)
+                np.matmul(move, last[:, :n], out=a)
                 np.multiply(a, now, out=a)
-            np.add.reduce(a, axis=1, keepdims=True, out=c)
+            np.add.reduce(a, axis=0, out=c)
             np.divide(a, c, out=a)
             last = a
         self.log10 += float(np.log10(scale).sum(dtype=np.float64))
         # e becomes emission times backward value over scale, alpha the probability of each state
         e /= scale
-        moves, held = np.zeros(self.move.shape), np.empty((steps[0], len(start)), dtype=np.float32)
-        w = e[begins[len(steps) - 1] : begins[len(steps)]]
+        moves, held = np.zeros(self.move.shape), np.empty((len(start), steps[0]), dtype=np.float32)
+        w = e[:, begins[len(steps) - 1] : begins[len(steps)]]
         for t in range(len(steps) - 1, 0, -1):
             n, at = steps[t], begins[t - 1]
-            a, b = alpha[at : at + n], held[:n]
-            moves += a.T @ w
-            np.matmul(w, back, out=b)
+            a, b = alpha[:, at : at + n], held[:, :n]
+            moves += a @ w.T
+            np.matmul(back, w, out=b)
             np.multiply(a, b, out=a)
-            w = e[at : at + steps[t - 1]]
-            w[:n] *= b
-        self.start += alpha[: steps[0]].sum(axis=0)
+            w = e[:, at : at + steps[t - 1]]
+            w[:, :n] *= b
+        self.start += alpha[:, : steps[0]].sum(axis=1)
         self.move += moves * chain.move
-        obs = obs.astype(np.intp)
-        for s in range(alpha.shape[1]):
-            self.emit[:, s] += np.bincount(obs, alpha[:, s], len(self.emit))
+        for s, row in enumerate(alpha):
+            self.emit[:, s] += np.bincount(obs, row, len(self.emit))
 
     def chain(self, share: np.ndarray, weight: float = 20.0) -> Chain:
         """M-step. share: overall probability of each class, towards which each state's emissions are drawn by ``weight`` counts."""
