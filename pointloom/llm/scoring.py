@@ -24,8 +24,10 @@ HEAD, TAILS = 65_278, 256
 STATES, ROUNDS, GAIN = 8, 14, 1e-4
 #: Taken off each count within a tail class, in favour of unknown words.
 DISCOUNT = 0.75
-#: Tokens that one forward or Baum-Welch block takes at most, about; a block takes as many steps as its longest text, so it holds texts of like length, MEAN_ACTIVE of them at least, and texts of more than LONG tokens meet in few tasks.
-BLOCK_TOKENS, MEAN_ACTIVE, LONG = 2_000_000, 400, 2048
+#: Tokens that one forward or Baum-Welch block takes at most, about; a block takes as many steps as its longest text, so it holds texts of like length, MEAN_ACTIVE of them at least.
+BLOCK_TOKENS, MEAN_ACTIVE = 2_000_000, 400
+#: Tokens of a Baum-Welch task, about, so that it fills its blocks and sends its counts once for many texts; texts of more than LONG tokens meet in tasks of their own.
+TASK_TOKENS, LONG = 4_000_000, 2048
 #: Rows of the model that are summed together, and partial sums that one task adds up.
 CHUNK, FAN = 1024, 64
 _END = b""  # no word is empty
@@ -156,10 +158,9 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Langua
 
     chain = first_chain(share, states)
     coded = cut(texts.mapInArrow(encode, "seq binary, lengths binary, width int"))
-    # long texts meet in few tasks, whose blocks then hold many of them
     long = F.col("width") > _width(LONG)
-    in_long = coded.where(long).agg(F.sum(F.length("seq"))).first()[0] or 0
-    coded = coded.where(~long).unionByName(coded.where(long).coalesce(in_long // (2 * BLOCK_TOKENS) + 1))
+    in_short, in_long = (coded.where(w).agg(F.sum(F.length("seq"))).first()[0] or 0 for w in (~long, long))
+    coded = coded.where(~long).coalesce(in_short // (2 * TASK_TOKENS) + 1).unionByName(coded.where(long).coalesce(in_long // (2 * TASK_TOKENS) + 1))
     last = -np.inf
     for _ in range(rounds):
         chain, reached = _round(coded, chain, share)
