@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.arrow import slices
 from pointloom.llm.hmm import Chain, Counts, first_chain, log10_likelihood
 from pointloom.session import cut, prepare, table
 
@@ -28,6 +28,8 @@ DISCOUNT = 0.75
 BLOCK_TOKENS, MEAN_ACTIVE = 2_000_000, 400
 #: Tokens of a Baum-Welch task, about, so that it fills its blocks and sends its counts once for many texts; texts of more than LONG tokens meet in tasks of their own.
 TASK_TOKENS, LONG = 4_000_000, 2048
+#: Tokens that are counted together before they leave a task, about.
+COUNT_TOKENS = 1_500_000
 #: Rows of the model that are summed together, and partial sums that one task adds up.
 CHUNK, FAN = 1024, 64
 _END = b""  # no word is empty
@@ -38,25 +40,58 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts (null: empty) one after the other, and how many each text has."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    flat = words.flatten().cast(pa.binary())
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at either end of a text leaves empty strings
+    return flat.filter(some), np.bincount(text[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5, is 1; a null id is held out too."""
     return F.expr(f"{doc_id} is null or pmod(crc32(cast(cast({doc_id} as string) as binary)), 5) = 1")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[bytes] = Counter()
+    held: list[pa.Array] = []
+    ends = size = 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-
-    for _, texts in slices(batches):
-        for t in texts:
-            found.update(tokens(t))
-        found[_END] += len(texts)
-        if len(found) > 400_000:
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "c"])
+
+    for batch in batches:
+        words, n = _split(batch.column("text"))
+        held.append(words)
+        ends, size = ends + len(n), size + len(words)
+        if size > COUNT_TOKENS:
             yield out()
-            found.clear()
+            held, size = [], 0
     yield out()
+    yield pa.RecordBatch.from_arrays([pa.array([_END], pa.binary()), pa.array([ends], pa.int64())], ["word", "c"])
+
+
+#: CRC-32 of each byte, by its rule.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def _tail(words: pa.Array) -> np.ndarray:
+    """CRC-32 of the last three bytes of each word, modulo TAILS."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    _, places, data = words.buffers()
+    begin = np.frombuffer(places, "<i4")[words.offset : words.offset + len(words) + 1]
+    data, begin, end = np.frombuffer(data, "u1"), begin[:-1], begin[1:]
+    crc = np.full(len(words), 0xFFFFFFFF, dtype=np.uint32)
+    for k in (3, 2, 1):
+        at = end - k
+        step = _CRC[(crc ^ data[np.maximum(at, begin)]) & 255] ^ (crc >> 8)
+        crc = np.where(at >= begin, step, crc)
+    return (~crc % TAILS).astype(np.int64)
 
 
 @dataclass
@@ -76,9 +111,22 @@ class Classes:
         c = np.concatenate([self.counts, self.tail_tokens]) + 0.5
         return c / c.sum()
 
-    def of(self, words: list[bytes]) -> list[int]:
-        get, n = self.head.get, len(self.counts)
-        return [get(w) or n + zlib.crc32(w[-3:]) % TAILS for w in words]
+    @cached_property
+    def words(self) -> pa.Array:
+        return pa.array(list(self.head), pa.binary())
+
+    def of(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        out = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy() + np.int64(1)
+        rest = out == 0
+        out[rest] = len(self.counts) + _tail(words.filter(pa.array(rest)))
+        return out
+
+    def sequences(self, words: pa.Array, n: np.ndarray) -> list[np.ndarray]:
+        """Of texts of n words each: their classes, the end included."""
+        out = np.zeros(len(words) + len(n), dtype="<u2")
+        out[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = self.of(words)
+        return np.split(out, np.cumsum(n + 1)[:-1])
 
 
 def _width(n: int) -> int:
@@ -140,7 +188,7 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Langua
     in_tail, in_words = np.zeros(TAILS), np.zeros(TAILS)
     in_tail[per_class.column("j").to_numpy()] = per_class.column("c").to_numpy()
     in_words[per_class.column("j").to_numpy()] = per_class.column("v").to_numpy()
-    place = np.array([zlib.crc32(w[-3:]) % TAILS for w in words], dtype=np.int64)
+    place = _tail(pa.array(words, pa.binary()))
     in_tail -= np.bincount(place, own, TAILS)
     in_words -= np.bincount(place, minlength=TAILS)
     classes = Classes({w: i + 1 for i, w in enumerate(words)}, np.concatenate([[ends[0] if ends else 0], own]).astype(float), in_tail, in_words)
@@ -148,10 +196,9 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Langua
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data in slices(batches):
-            seqs = [np.array([*held.value.of(tokens(t)), 0], dtype="<u2") for t in data]
+        for batch in batches:
             by_width: dict[int, list[np.ndarray]] = {}
-            for x in seqs:
+            for x in held.value.sequences(*_split(batch.column("text"))):
                 by_width.setdefault(_width(len(x)), []).append(x)
             columns = [[np.concatenate(v).tobytes() for v in by_width.values()], [np.array([len(x) for x in v], dtype="<i8").tobytes() for v in by_width.values()], list(by_width)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["seq", "lengths", "width"])
@@ -233,11 +280,12 @@ def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
     with np.errstate(divide="ignore"):
         seen = np.where(k.tail_tokens > 0, -np.log10(k.tail_tokens), 0.0)
         unseen = np.where(k.tail_tokens > 0, np.log10(np.maximum(DISCOUNT * k.tail_words, 1e-300)) + seen, 0.0)
-    held = docs.sparkSession.sparkContext.broadcast((k, model.chain, np.log10(k.counts + 0.5), seen, unseen, bool(model.n_tokens)))
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("chain", pa.float64()), ("base", pa.float64()), ("word", pa.binary()), ("times", pa.int64()), ("seen", pa.float64()), ("unseen", pa.float64())])
+    held = docs.sparkSession.sparkContext.broadcast((k, model.chain, np.log10(k.counts + 0.5), bool(model.n_tokens)))
+    whole = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("chain", pa.float64()), ("base", pa.float64())])
+    schema = pa.schema([("rid", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("whole", whole)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, chain, head_log, seen, unseen, trained = held.value
+        classes, chain, head_log, trained = held.value
         n_head = len(classes.counts)
         waiting: dict[int, list[tuple]] = {}
         size: Counter[int] = Counter()
@@ -253,39 +301,40 @@ def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
             known = own & ((seq > 0) | (classes.counts[0] > 0))
             base = np.bincount(at[own], head_log[seq[own]], len(seqs))
             heads = np.bincount(at[known], minlength=len(seqs))
-            none = [None] * len(seqs)
-            columns = [rids, docs_, lengths, heads, total, base, [b" %d" % r for r in rids], none, none, none]  # no word starts with a space
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-        for rows, texts in slices(batches):
-            tail: list[list] = [[], [], [], [], []]
-            for rid, doc, t in zip(rows.column("rid").to_pylist(), rows.column("doc_id").to_pylist(), texts, strict=True):
-                words = tokens(t)
-                ids = classes.of(words)
-                for (w, j), n in Counter((w, j) for w, j in zip(words, ids, strict=True) if j >= n_head).items():
-                    for column, value in zip(tail, (rid, w, n, seen[j - n_head], unseen[j - n_head]), strict=True):
-                        column.append(value)
-                ids.append(0)
-                width = _width(len(ids))
-                waiting.setdefault(width, []).append((rid, doc, np.array(ids, dtype=np.int32)))
-                size[width] += len(ids)
-            none = [None] * len(tail[0])
-            columns = [tail[0], none, none, none, none, none, *tail[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+            fields = [pa.array(c, f.type) for c, f in zip((docs_, lengths, heads, total, base), whole, strict=True)]
+            words = pa.array([b" %d" % r for r in rids], pa.binary())  # no word starts with a space
+            return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), words, pa.nulls(len(rids), pa.int64()), pa.StructArray.from_arrays(fields, fields=list(whole))], schema=schema)
+
+        for batch in batches:
+            words, n = _split(batch.column("text"))
+            seqs, rids = classes.sequences(words, n), batch.column("rid")
+            at = np.repeat(np.arange(len(n)), n)
+            rest = np.concatenate([s[:-1] for s in seqs]) >= n_head if seqs else np.zeros(0, dtype=bool)
+            tail = pa.table([rids.take(pa.array(at[rest])), words.filter(pa.array(rest))], ["rid", "word"])
+            tail = tail.group_by(["rid", "word"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            for part in tail.to_batches():
+                columns = [part.column(c) for c in ("rid", "word", "count_all")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(part), whole)], schema=schema)
+            for rid, doc, x in zip(rids.to_pylist(), batch.column("doc_id").to_pylist(), seqs, strict=True):
+                width = _width(len(x))
+                waiting.setdefault(width, []).append((rid, doc, x.copy()))
+                size[width] += len(x)
             for width in [w for w in waiting if _enough(w, size[w])]:
                 yield block(width)
         for width in sorted(waiting):
             yield block(width)
 
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = base.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_head long, chain double, base double, word binary, times long, seen double, unseen double")
+    rows = base.mapInArrow(run, "rid long, word binary, times long, whole struct<doc_id: long, n_tokens: long, n_head: long, chain: double, base: double>")
     met = rows.join(model.counts, "word", "left")
     zero = F.lit(0.0)
+    tail = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(TAILS)).cast("int")
+    seen_, unseen_ = (F.array(*map(F.lit, x.tolist()))[tail] for x in (seen, unseen))
     out = met.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_head") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0))).alias("n_known"),
-        (F.max("base") + F.coalesce(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)), zero) - F.max("n_tokens") * F.lit(float(per_token))).alias("base_score"),
-        (F.max("chain") + F.coalesce(F.sum(F.col("times") * F.when(F.col("c").isNotNull(), F.log10(F.col("c") - DISCOUNT) + F.col("seen")).otherwise(F.col("unseen"))), zero)).alias("score"),
+        F.max("whole.doc_id").alias("doc_id"), F.max("whole.n_tokens").alias("n_tokens"),
+        (F.max("whole.n_head") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0))).alias("n_known"),
+        (F.max("whole.base") + F.coalesce(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)), zero) - F.max("whole.n_tokens") * F.lit(float(per_token))).alias("base_score"),
+        (F.max("whole.chain") + F.coalesce(F.sum(F.col("times") * F.when(F.col("c").isNotNull(), F.log10(F.col("c") - DISCOUNT) + seen_).otherwise(unseen_)), zero)).alias("score"),
     )
     return out.drop("rid")
 

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pointloom.llm import boosting, hmm, quality, scoring, toxicity
@@ -139,6 +140,16 @@ def test_every_round_takes_all_texts(docs_of, monkeypatch):
     assert model.chain.emit == pytest.approx(chain.emit, rel=0.01, abs=1e-4)
 
 
+def test_words_and_tail_classes_in_arrow():
+    texts = [" Some  WORDS\tof\x0b\x0c\r\nany length ", "", None, "\x1c\u2003\u00c9 x", " "]
+    words, n = scoring._split(pa.array(texts))
+    plain = [scoring.tokens((t or "").encode()) for t in texts]
+    assert words.to_pylist() == sum(plain, []) and n.tolist() == [len(w) for w in plain]
+    assert scoring._tail(words).tolist() == [zlib.crc32(w[-3:]) % scoring.TAILS for w in words.to_pylist()]
+    assert scoring._tail(words.slice(2, 3)).tolist() == [zlib.crc32(w[-3:]) % scoring.TAILS for w in words.to_pylist()[2:5]]
+    assert len(scoring._split(pa.array([], pa.string()))[0]) == 0
+
+
 def test_the_outcomes_of_a_tail_class_add_up_to_one():
     c, d = np.array([1, 1, 2, 5]), scoring.DISCOUNT
     assert ((c - d) / c.sum()).sum() + d * len(c) / c.sum() == pytest.approx(1)
