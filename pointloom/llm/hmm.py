@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -15,8 +16,13 @@ class Chain:
     move: np.ndarray
     emit: np.ndarray
 
+    @cached_property
+    def by_state(self) -> np.ndarray:
+        """Emissions in single precision, one row a state."""
+        return np.ascontiguousarray(self.emit.T, np.float32)
 
-def _by_time(seq: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def by_time(seq: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Observations ordered by step, then by text, longest first; the number of texts at each step; where each step begins; the order of texts."""
     order = np.argsort(-lengths, kind="stable")
     rank = np.empty(len(lengths), dtype=np.int64)
@@ -34,7 +40,7 @@ def _by_time(seq: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def log10_likelihood(chain: Chain, seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Exact log10 probability of each text's class sequence; seq holds the texts one after the other."""
     total = np.zeros(len(lengths))
-    obs, active, begin, order = _by_time(seq, lengths)
+    obs, active, begin, order = by_time(seq, lengths)
     a = None
     for t, n in enumerate(active.tolist()):
         e = chain.emit[obs[begin[t] : begin[t] + n]]
@@ -58,18 +64,21 @@ class Counts:
 
     @classmethod
     def zero(cls, states: int, classes: int) -> Counts:
-        return cls(np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)))
+        return cls(np.zeros(states), np.zeros((states, states)), np.zeros((states, classes)).T)
 
     def add(self, chain: Chain, seq: np.ndarray, lengths: np.ndarray) -> None:
-        if not len(seq):
-            return
-        obs, active, begin, _ = _by_time(seq, lengths)
-        obs = obs.astype(np.intp)
+        if len(seq):
+            obs, active, *_ = by_time(seq, lengths)
+            self.add_steps(chain, obs, active)
+
+    def add_steps(self, chain: Chain, obs: np.ndarray, active: np.ndarray) -> None:
+        """As add(), of texts that by_time() has put in order of steps."""
+        obs, begin = obs.astype(np.intp), np.concatenate([[0], np.cumsum(active)])
         # one row a state, so that sums over states and products by them run along contiguous texts
         move, start = np.ascontiguousarray(chain.move.T, np.float32), chain.start.astype(np.float32)[:, None]
         back = np.ascontiguousarray(chain.move, np.float32)
         e = np.empty((len(start), len(obs)), dtype=np.float32)
-        for row, of_class in zip(e, np.ascontiguousarray(chain.emit.T, np.float32), strict=True):
+        for row, of_class in zip(e, chain.by_state, strict=True):
             of_class.take(obs, out=row, mode="clip")
         alpha = np.empty_like(e)
         scale = np.empty(len(obs), dtype=np.float32)

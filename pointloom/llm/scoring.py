@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.hmm import Chain, Counts, first_chain, log10_likelihood
+from pointloom.llm.hmm import Chain, Counts, by_time, first_chain, log10_likelihood
 from pointloom.session import cut, prepare, table
 
 #: Words with a class of their own (the most frequent that occur twice); all others share TAILS classes by their last
@@ -25,7 +25,7 @@ STATES, ROUNDS, GAIN = 8, 14, 1e-4
 #: Taken off each count within a tail class, in favour of unknown words.
 DISCOUNT = 0.75
 #: Tokens that one forward or Baum-Welch block takes at most, about; a block takes as many steps as its longest text, so it holds texts of like length, MEAN_ACTIVE of them at least.
-BLOCK_TOKENS, MEAN_ACTIVE = 2_000_000, 400
+BLOCK_TOKENS, MEAN_ACTIVE = 2_000_000, 1_600
 #: Tokens of a Baum-Welch task, about, so that it fills its blocks and sends its counts once for many texts; texts of more than LONG tokens meet in tasks of their own.
 TASK_TOKENS, LONG = 4_000_000, 2048
 #: Tokens that are counted together before they leave a task, about.
@@ -158,6 +158,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield block(width)
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its classes in order of steps, and the number of texts at each step."""
+    for seq, lengths in _blocks(batches):
+        obs, active, *_ = by_time(seq, lengths)
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((obs, "<u2"), (active, "<i8"))], ["obs", "active"])
+
+
 @dataclass
 class LanguageModel:
     counts: DataFrame  # (word, c) of all training tokens
@@ -208,9 +215,10 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Langua
     long = F.col("width") > _width(LONG)
     in_short, in_long = (coded.where(w).agg(F.sum(F.length("seq"))).first()[0] or 0 for w in (~long, long))
     coded = coded.where(~long).coalesce(in_short // (2 * TASK_TOKENS) + 1).unionByName(coded.where(long).coalesce(in_long // (2 * TASK_TOKENS) + 1))
+    blocks = cut(coded.mapInArrow(_steps, "obs binary, active binary"))
     last = -np.inf
     for _ in range(rounds):
-        chain, reached = _round(coded, chain, share)
+        chain, reached = _round(blocks, chain, share)
         if reached - last <= GAIN * abs(reached):
             break
         last = reached
@@ -236,19 +244,20 @@ def _added(table: pa.Table, states: int) -> np.ndarray:
     return total
 
 
-def _round(coded: DataFrame, chain: Chain, share: np.ndarray) -> tuple[Chain, float]:
+def _round(blocks: DataFrame, chain: Chain, share: np.ndarray) -> tuple[Chain, float]:
     """One Baum-Welch round over all partitions, and the log10 likelihood by the chain that it began with.
 
     A task sends its expected counts as chunks of the model's rows; chunks are added up in single precision steps of FAN, so no task receives more, however many partitions there are.
     """
     states, size = len(chain.start), len(share)
-    held = coded.sparkSession.sparkContext.broadcast(chain)
+    held = blocks.sparkSession.sparkContext.broadcast(chain)
     height = -(-(size + states + 2) // CHUNK) * CHUNK
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counts.zero(states, size)
-        for seq, lengths in _blocks(batches):
-            c.add(held.value, seq, lengths)
+        for b in batches:
+            for obs, active in zip(b.column("obs"), b.column("active"), strict=True):
+                c.add_steps(held.value, np.frombuffer(obs.as_buffer(), "<u2"), np.frombuffer(active.as_buffer(), "<i8"))
         rows = np.zeros((height, states))
         np.concatenate([c.emit, c.move, c.start[None], np.eye(1, states) * c.log10], out=rows[: size + states + 2])
         yield pa.RecordBatch.from_arrays(_parts(rows.reshape(-1, CHUNK, states), list(range(height // CHUNK)), TaskContext.get().partitionId()), schema=_PART)
@@ -257,7 +266,7 @@ def _round(coded: DataFrame, chain: Chain, share: np.ndarray) -> tuple[Chain, fl
         part = key[1].as_py() if len(key) > 1 else 0
         return pa.Table.from_arrays(_parts(_added(rows, states)[None], [key[0].as_py()], part), schema=_PART)
 
-    parts, n = coded.mapInArrow(expect, _PART_TYPE), coded.rdd.getNumPartitions()
+    parts, n = blocks.mapInArrow(expect, _PART_TYPE), blocks.rdd.getNumPartitions()
     while n > FAN:
         n = -(-n // FAN)
         parts = parts.withColumn("part", F.col("part") % n).groupBy("chunk", "part").applyInArrow(add, _PART_TYPE)
