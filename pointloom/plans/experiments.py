@@ -5,11 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry, labels, stats
-from pointloom.operators import boxes, evaluate, fusion
+from pointloom.operators import boxes, evaluate, fusion, sampling
 from pointloom.operators.cluster import cluster, seed_profile, stage_times
 from pointloom.operators.ground import cloth_ground, off_ground
 from pointloom.operators.neighbors import radius_probe
@@ -27,7 +27,7 @@ def timed_runs(spark: SparkSession, clouds: dict[str, DataFrame], methods: Itera
         for tol in tolerances:
             for method in methods:
                 for cap in max_n:
-                    options = {"tol": tol, "min_size": min_size} | ({"max_n": cap} if method.startswith(("seeded", "capped")) else {})
+                    options = {"tol": tol, "min_size": min_size} | _cap(method, cap)
                     for run in range(repeats):
                         began = time.perf_counter()
                         found = cluster(cloud, method, **options).agg(F.countDistinct("cluster_id")).first()[0]
@@ -36,6 +36,7 @@ def timed_runs(spark: SparkSession, clouds: dict[str, DataFrame], methods: Itera
 
 
 KEYS = ("dataset", "method", "tol", "max_n")
+RATIOS, COUNTS = ("pq", "sq", "rq", "rc50", "miou"), ("gt", "pred", "tp", "fp", "fn")
 
 
 def benchmark_table(runs: DataFrame, warmup: int = 1) -> DataFrame:
@@ -168,10 +169,10 @@ def snapshot(points: DataFrame, tol: float, min_size: int = 100, max_n: int = 50
     return p.join(found, [*keys, "idx"]).withColumns(dict(zip("rgb", geometry.colour("cluster_id"), strict=True)))
 
 
-def tune(samples: DataFrame, gt: DataFrame, candidates: DataFrame, drop: float = 0.02, keep: int = 15, key: str = "sample") -> DataFrame:
+def tune(samples: DataFrame, gt: DataFrame, candidates: DataFrame, drop: float = 0.02, keep: int | None = 15, key: str = "sample") -> DataFrame:
     """Ranks parameter candidates (id, tol, min_size, max_n) over all samples (sample, idx, x, y, z) by panoptic quality and time.
 
-    Each candidate is one distributed job over all samples; call again with what is kept and more samples for the later stages.
+    Each candidate is one distributed job over all samples; tune_stages() goes on with what is kept.
     """
     rows = []
     for c in candidates.collect():  # a table of parameters, not data
@@ -181,6 +182,91 @@ def tune(samples: DataFrame, gt: DataFrame, candidates: DataFrame, drop: float =
         pairs = cut(evaluate.overlaps(found, gt, (key,)))
         counts = evaluate.panoptic(evaluate.greedy_matches(pairs, (key,)), evaluate.best_matches(pairs, gt, (key,)), found, (key,))
         r = evaluate.merged(counts, ()).first()
-        rows.append((c["id"], c["tol"], c["min_size"], c["max_n"], float(ms), float(r["pq"])))
-    scored = samples.sparkSession.createDataFrame(rows, "id long, tol double, min_size int, max_n int, ms double, pq double")
-    return stats.rank_candidates(scored, "ms", "pq", drop, keep)
+        rows.append((c["id"], c["tol"], c["min_size"], c["max_n"], float(ms), *(float(r[m]) for m in RATIOS), *(int(r[m] or 0) for m in COUNTS)))
+    types = ", ".join(["id long, tol double, min_size int, max_n int, ms double", *(f"{m} double" for m in RATIOS), *(f"{m} long" for m in COUNTS)])
+    return stats.rank_candidates(samples.sparkSession.createDataFrame(rows, types), "ms", "pq", drop, keep)
+
+
+def random_candidates(spark: SparkSession, n: int = 60, seed: int = 20240501, tol: tuple[float, float] = (0.12, 0.35), min_size: tuple[int, int] = (40, 240), max_n: tuple[int, int] = (20, 100)) -> DataFrame:
+    """n parameter candidates (id, tol, min_size, max_n): the defaults as id 0, the others uniform in the ranges, ends included."""
+
+    def within(bounds: tuple[int, int], salt: int):
+        low, high = bounds
+        return F.least(F.lit(high), F.floor(F.lit(low) + F.rand(seed + salt) * (high - low + 1))).cast("int")
+
+    drawn = spark.range(0, n, 1, 1).select("id", (F.lit(tol[0]) + F.rand(seed) * (tol[1] - tol[0])).alias("tol"), within(min_size, 1).alias("min_size"), within(max_n, 2).alias("max_n"))
+    first = F.col("id") == 0
+    return drawn.select("id", *(F.when(first, F.lit(d)).otherwise(F.col(c)).alias(c) for c, d in (("tol", 0.2), ("min_size", 100), ("max_n", 50))))
+
+
+def tune_stages(stages: Sequence[tuple[DataFrame, DataFrame]], candidates: DataFrame, keep: Sequence[int] = (15, 5), drop: float = 0.02, key: str = "sample") -> DataFrame:
+    """The candidates over the (samples, ground truth) of each stage in turn; after a stage only its best ``keep`` go on. All ranked rows with the number of their stage; rank 1 of the last is the recommendation."""
+    out = None
+    for k, (samples, gt) in enumerate(stages):
+        ranked = cut(tune(samples, gt, candidates, drop, None, key))
+        rows = ranked.withColumn("stage", F.lit(k + 1))
+        out = rows if out is None else out.unionByName(rows)
+        if k < len(keep):
+            candidates = ranked.where(F.col("rank") <= keep[k]).select("id", "tol", "min_size", "max_n").orderBy("id")
+    return out
+
+
+def _scored(samples: DataFrame, method: str, classes: Sequence[int], min_gt: int, keys: Sequence[str], **options) -> dict[str, float]:
+    """Counts and ratios over all samples (keys, idx, x, y, z, semantic, instance), their number and points, and the mean time of one."""
+    n = samples.groupBy(*keys).agg(F.count("*").alias("points")).agg(F.count("*").alias("samples"), F.coalesce(F.sum("points"), F.lit(0)).alias("points")).first().asDict()
+    began = time.perf_counter()
+    found = cut(cluster(samples, method, keys=keys, **options))
+    ms = (time.perf_counter() - began) * 1000 / max(1, n["samples"])
+    gt = labels.ground_truth(samples, classes, min_gt, tuple(keys))
+    pairs = cut(evaluate.overlaps(found, gt, keys))
+    best = evaluate.best_matches(pairs, gt, keys)
+    r = evaluate.merged(evaluate.panoptic(evaluate.greedy_matches(pairs, keys), best, found, keys), ()).first()
+    return n | {"ms": ms} | {m: float(r[m] or 0) for m in RATIOS} | {m: int(r[m] or 0) for m in COUNTS}
+
+
+def four_sections(points: DataFrame, poses: DataFrame, tr: Sequence[float] | None, methods: Iterable[str], target: Sequence[int], others: Sequence[int], ground: Sequence[int], first: str, tol: float = 0.2, min_size: int = 100, max_n: int = 50, min_gt: int = 30, window: int = 10, stride: int = 15, samples: int = 32, sizes: Sequence[int] = (1_000_000, 2_000_000, 3_000_000), shift: int = 30, repeats: int = 7) -> dict[str, DataFrame]:
+    """The full experiment over points (seq, frame, idx, x, y, z, semantic, instance) and poses of the sequence ``first``.
+
+    speed: each method's times on the first frame of ``first`` without ground; frames: scores over every frame's points of the target classes; fusion: over windows of consecutive frames of ``first``, fused by their poses; hard: over fused runs of frames that reach ``sizes`` points of target and other classes, each beginning ``shift`` frames after the one before, with the target classes as ground truth.
+    """
+    spark, methods = points.sparkSession, list(methods)
+    own = cut(points.where(F.col("seq") == first).drop("seq"))
+    start = own.agg(F.min("frame")).first()[0]
+    runs = timed_runs(spark, {first: own.where((F.col("frame") == start) & ~F.col("semantic").isin(*ground)).drop("frame")}, methods, [tol], min_size, [max_n], repeats)
+    wanted = own.where(F.col("semantic").isin(*target, *others)).groupBy("frame").agg(F.count("*").alias("n"))
+    listed = own.select("frame").distinct().join(wanted, "frame", "left").fillna(0, ["n"])
+    place = F.row_number().over(Window.orderBy("frame")) - 1  # a row a frame
+    listed = cut(listed.withColumn("place", place))
+    chosen = None
+    for k, size in enumerate(sizes):
+        part = sampling.accumulate_until(listed.where(F.col("place") >= k * shift), "n", size).select(F.lit(k).cast("long").alias("sample"), "frame")
+        chosen = part if chosen is None else chosen.unionByName(part)
+    inputs = {
+        "frames": (points.where(F.col("semantic").isin(*target)), ("seq", "frame")),
+        "fusion": (fusion.make_sample(own, sampling.hopping_frames(listed, window, stride, samples), target, (), poses, tr), ("sample",)),
+        "hard": (fusion.make_sample(own, chosen, (*target, *others), (), poses, tr), ("sample",)),
+    }
+    out = {"speed": stats.spread(runs, ("dataset", "method"), "ms").withColumn("fps", stats.fps("mean"))}
+    types = ", ".join(["method string, samples long, points long, ms double", *(f"{m} double" for m in RATIOS), *(f"{m} long" for m in COUNTS)])
+    for name, (cloud, keys) in inputs.items():
+        cloud = cut(cloud)
+        scored = [(m, _scored(cloud, m, target, min_gt, keys, tol=tol, min_size=min_size, **_cap(m, max_n))) for m in methods]
+        out[name] = spark.createDataFrame([(m, *(r[c] for c in ("samples", "points", "ms", *RATIOS, *COUNTS))) for m, r in scored], types)
+    return out
+
+
+def cloud_report(spark: SparkSession, clouds: dict[str, DataFrame], methods: Iterable[str], tol: float = 0.2, min_size: int = 100, max_n: int = 50, min_gt: int = 30, repeats: int = 7) -> DataFrame:
+    """Clouds (idx, x, y, z, scalar_instance), as PLY files hold them: for each and each method the scores against instances of at least min_gt points (ids above 0, rounded), and times over the runs."""
+    rows, methods = [], list(methods)
+    for name, cloud in clouds.items():
+        cloud = cut(cloud.withColumns({"dataset": F.lit(name), "semantic": F.lit(1), "instance": F.greatest(F.lit(0), F.round("scalar_instance").cast("int"))}))
+        rows += [(name, m, _scored(cloud, m, (), min_gt, ("dataset",), tol=tol, min_size=min_size, **_cap(m, max_n))) for m in methods]
+    types = ", ".join(["dataset string, method string, points long", *(f"{m} double" for m in RATIOS), *(f"{m} long" for m in COUNTS)])
+    scores = spark.createDataFrame([(d, m, *(r[c] for c in ("points", *RATIOS, *COUNTS))) for d, m, r in rows], types)
+    runs = timed_runs(spark, {n: c.drop("scalar_instance") for n, c in clouds.items()}, methods, [tol], min_size, [max_n], repeats)
+    times = stats.spread(runs, ("dataset", "method"), "ms").select("dataset", "method", F.col("mean").alias("mean_ms"), stats.fps("mean").alias("fps"))
+    return scores.join(times, ["dataset", "method"])
+
+
+def _cap(method: str, max_n: int) -> dict[str, int]:
+    return {"max_n": max_n} if method.startswith(("seeded", "capped")) else {}

@@ -111,3 +111,30 @@ def test_samples(spark):
     assert [r.frame for r in sampling.accumulate_until(f, "n", 25).orderBy("frame").collect()] == [0, 1, 2]
     assert sampling.random_sample(f, 3, 1).count() == 3
     assert sorted((r.sample, r.frame) for r in sampling.hopping_frames(f, 3, 2).collect()) == [(s, s * 2 + k) for s in range(3) for k in range(3)]
+
+
+def test_tuning_in_stages(spark):
+    c = experiments.random_candidates(spark, 40, 3).collect()
+    assert tuple(c[0]) == (0, 0.2, 100, 50) and [tuple(r) for r in c] == [tuple(r) for r in experiments.random_candidates(spark, 40, 3).collect()]
+    assert all(0.12 <= r.tol <= 0.35 and 40 <= r.min_size <= 240 and 20 <= r.max_n <= 100 for r in c) and len({r.tol for r in c}) == 40
+    s = spark.createDataFrame([(0, i, float(i // 5) * 10 + i % 5 * 0.1, 0.0, 0.0) for i in range(10)], "sample long, idx long, x double, y double, z double")
+    gt = s.select("sample", "idx", F.floor(F.col("idx") / 5).alias("gt_key"))
+    few = spark.createDataFrame([(0, 0.05, 2, 50), (1, 0.15, 2, 50), (2, 20.0, 2, 50)], "id long, tol double, min_size int, max_n int")
+    out = experiments.tune_stages([(s, gt), (s, gt)], few, keep=(1,)).collect()
+    assert sorted((r.stage, r["id"]) for r in out) == [(1, 0), (1, 1), (1, 2), (2, 1)]
+    assert [(r.pq, r.gt, r.tp) for r in out if r.stage == 2] == [(1.0, 2, 2)]
+
+
+def test_full_experiment_and_cloud_report(spark):
+    rows = [("a", f, i, float(i // 4) * 10 + i % 4 * 0.1, 0.0, 0.0, 7 if i < 8 else 15 if i < 12 else 22, i // 4 + 1) for f in range(4) for i in range(16)]
+    p = spark.createDataFrame(rows, "seq string, frame long, idx long, x double, y double, z double, semantic int, instance int")
+    poses = spark.createDataFrame([(f, [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]) for f in range(4)], "frame long, m array<double>")
+    out = experiments.four_sections(p, poses, None, ["euclidean", "seeded"], (7,), (15,), (22,), "a", 0.5, 2, 50, 2, window=2, stride=1, samples=9, sizes=(20, 1000), shift=1, repeats=2)
+    assert {(r.method, r.samples, r.points, r.gt, r.pq) for r in out["frames"].collect()} == {(m, 4, 32, 8, 1.0) for m in ("euclidean", "seeded")}
+    assert {(r.samples, r.points, r.gt, r.pq) for r in out["fusion"].collect()} == {(3, 48, 6, 1.0)}
+    # 12 points a frame: two frames reach 20; from the second on, three frames never reach 1000
+    assert {(r.samples, r.points, r.gt, r.pred, r.tp) for r in out["hard"].collect()} == {(2, 60, 4, 6, 4)}
+    assert out["speed"].count() == 2
+    cloud = p.where("frame = 0").select("idx", "x", "y", "z", F.when(F.col("idx") < 8, F.col("instance") + 0.2).otherwise(0.0).alias("scalar_instance"))
+    r = experiments.cloud_report(spark, {"c": cloud}, ["euclidean"], 0.5, 2, 50, 2, 2).first()
+    assert (r.points, r.gt, r.pred, r.tp, r.rc50, r.miou) == (16, 2, 4, 2, 1.0, 1.0) and r.fps > 0
